@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -28,6 +29,9 @@ _SPLIT = regex.compile(rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p
 _RUNS = regex.compile(rb"[\t-\r ]{2}|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Entries of a worker's cache of pieces before it is emptied.
 CACHE = 400_000
+#: A comma or full stop between a letter and white space is a token of its own; a mark is put before it, so that it is cut off there.
+_POINT = re.compile(rb"([,.])(?:(?<=[a-zA-Z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \n])")
+_MARK = b" \x01"
 
 
 def byte_alphabet() -> list[str]:
@@ -117,9 +121,9 @@ class PairIndexBPE:
         return out
 
     def learn(self, parts: Iterable[bytes]) -> None:
-        """Puts parts (whole runs of pre-tokens) in the cache: count, ids as text, decoded bytes."""
+        """Puts parts (whole runs of pre-tokens, a mark before some) in the cache: count, ids as text, decoded bytes."""
         parts = list(parts)
-        cuts = [[m.encode() for m in _SPLIT.findall(p.decode())] for p in parts]
+        cuts = [[m.encode() for m in _SPLIT.findall(p.removeprefix(_MARK).decode())] for p in parts]
         known = {w: i for i, w in enumerate(dict.fromkeys(w for c in cuts for w in c))}
         ids = self.merge(list(known))
         if len(self.cache) + len(parts) > CACHE:
@@ -132,9 +136,9 @@ class PairIndexBPE:
         """Runs of data that the pre-tokenizer never joins; cut before each single space, or by the pattern where white space comes in runs."""
         if not data:
             return []
-        if _RUNS.search(data):
+        if b"\x01" in data or _RUNS.search(data):
             return [m.encode() for m in _SPLIT.findall(data.decode())]
-        head, *rest = data.split(b" ")
+        head, *rest = _POINT.sub(rb" \x01\1", data).split(b" ")
         out = [b" " + x for x in rest]
         return [head, *out] if head else out
 
@@ -155,7 +159,7 @@ class PairIndexBPE:
         for s, i in self.added.items():
             self.cache[s] = (1, str(i), self.bytes_of[i])  # keyed by str: never equal to a part
         cache = self.cache
-        missing = {p for own in cut for p in own if p not in cache}
+        missing = set().union(*(set(own).difference(cache) for own in cut))
         if missing:
             if len(cache) + len(missing) > CACHE:
                 missing = {p for own in cut for p in own}
