@@ -138,7 +138,7 @@ class PairIndexBPE:
             return []
         if b"\x01" in data or _RUNS.search(data):
             return [m.encode() for m in _SPLIT.findall(data.decode())]
-        head, *rest = _POINT.sub(rb" \x01\1", data).split(b" ")
+        head, *rest = _POINT.sub(b" \x01\\1", data).split(b" ")
         out = [b" " + x for x in rest]
         return [head, *out] if head else out
 
