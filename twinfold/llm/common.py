@@ -133,11 +133,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
-    at = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(at, size)
-    table = powers(_BASE, int(size.max()))
-    values = _BYTE[data[place + np.repeat(starts, size)]] * table[place]
-    return mix(np.add.reduceat(values, at) + size.astype(np.uint64))
+    table, done, out, k = powers(_BASE, int(size.max())), np.cumsum(size), np.empty(len(starts), np.uint64), 0
+    while k < len(starts):  # by a megabyte, so that memory stays small beside the text
+        e = max(k + 1, int(np.searchsorted(done, (done[k - 1] if k else 0) + (1 << 20), "right")))
+        own = size[k:e]
+        at = np.cumsum(own) - own
+        place = np.arange(int(own.sum())) - np.repeat(at, own)
+        out[k:e] = np.add.reduceat(_BYTE[data[place + np.repeat(starts[k:e], own)]] * table[place], at)
+        k = e
+    return mix(out + size.astype(np.uint64))
 
 
 def rolled(hashes: np.ndarray, n: int, base: int) -> np.ndarray:

@@ -31,6 +31,12 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -51,7 +57,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language, op5_pack, op8_bpe, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op3_language, op5_pack, op6_substring, op8_bpe, op9_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
