@@ -18,6 +18,18 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .link_graph import judge
+
+    return judge(_table(spark, sf_dir, "pages"))
+
+
+def op2_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrappers import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .crf_langid import fit, identify
 
@@ -57,7 +69,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language, op5_pack, op6_substring, op8_bpe, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_link_graph, op2_wrappers, op3_language, op5_pack, op6_substring, op8_bpe, op9_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
