@@ -198,33 +198,33 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b) of longs: (node, component), component being the smallest node that is reachable.
 
-    Each round first contracts the edges of every partition to a star by union-find (so a
-    hot vertex leaves each partition as few edges), then links every vertex's neighbours
-    to its smallest one (two aggregations keyed by vertex, each with partial
-    aggregation). Nothing gathers at the driver, and each round is a written table.
-    Empty edges give no rows; self-links and repeated edges are harmless.
+    Each round contracts the edges of every partition to stars by union-find (a hot vertex
+    leaves each partition as one edge), then gathers by vertex the roots that the
+    partitions gave it (as many as partitions at most): where there are several, they hang
+    at the smallest one in the next round. One shuffle a round, of vertices, not of edges;
+    nothing gathers at the driver, and each round is a written table. Empty edges give no
+    rows; self-links and repeated edges are harmless.
     """
     spark = edges.sparkSession
 
     def contract(batches):
-        parts = [(x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False)) for x in batches if x.num_rows]
+        parts = [(x.column(0).to_numpy(zero_copy_only=False), x.column(1)) for x in batches if x.num_rows]
         if parts:
-            a, b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-            nodes, low = local_roots(a, b)
+            pairs = []
+            for a, b in parts:
+                if pa.types.is_list(b.type):
+                    size = pc.list_value_length(b).to_numpy(zero_copy_only=False)
+                    a, b = np.repeat(a, size), b.flatten()
+                pairs.append((a, b.to_numpy(zero_copy_only=False)))
+            nodes, low = local_roots(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
             for i in range(0, len(nodes), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(low[i : i + 100_000])], names=["a", "b"])
 
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
-    state, path = written(pairs.mapInArrow(contract, "a long, b long"))  # star edges: a hangs at b <= a
+    state, path = written(pairs)
     for _ in range(most_rounds):
-        # every vertex takes the smallest vertex that any of its stars names; those are then one
-        low = state.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("x"))
-        merged = low.where("x > m").limit(1).count() == 0
-        if merged:
-            roots = low.select(F.col("a").alias("node"), F.col("m").alias("component"))
-            up = roots.where("node <> component").join(roots.select(F.col("node").alias("component"), F.col("component").alias("over")), "component", "left").where("over < component").limit(1).count()
-            if not up:
-                return roots
-        both = state.join(low.select("a", "m"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        state, path = written(both.distinct().mapInArrow(contract, "a long, b long").distinct(), path)
+        stars = state.mapInArrow(contract, "a long, b long")
+        state, path = written(stars.groupBy("a").agg(F.collect_set("b").alias("b")), path)
+        if not state.where("size(b) > 1").limit(1).count():
+            return state.select(F.col("a").alias("node"), F.col("b")[0].alias("component"))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
