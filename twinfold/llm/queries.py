@@ -37,6 +37,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs))
 
 
+def op4_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .flat_graph import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -69,7 +75,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_link_graph, op2_wrappers, op3_language, op5_pack, op6_substring, op8_bpe, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_link_graph, op2_wrappers, op3_language, op4_flat_graph, op5_pack, op6_substring, op8_bpe, op9_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
