@@ -55,6 +55,12 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"))
 
 
+def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .image_copies import copies, rendered
+
+    return copies(rendered(_table(spark, sf_dir, "embeddings")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -75,7 +81,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_link_graph, op2_wrappers, op3_language, op4_flat_graph, op5_pack, op6_substring, op8_bpe, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_link_graph, op2_wrappers, op3_language, op4_flat_graph, op5_pack, op6_substring, op7_image_copies, op8_bpe, op9_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
