@@ -43,6 +43,7 @@ _POINT = re.compile(rb"([,.])(?:(?<=[a-zA-Z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\
 BROADCAST_ROWS = 200_000
 
 _tokenizers: dict[str, tuple] = {}
+_ends: dict[str, np.ndarray] = {}
 
 
 def _tokenizer(path: str):
@@ -52,10 +53,39 @@ def _tokenizer(path: str):
 
         t = Tokenizer.from_file(path)
         added = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
+        _ends[path] = np.zeros(t.get_vocab_size(), bool)
+        _ends[path][[i for x, i in t.get_vocab().items() if x.endswith("</w>")]] = True
         _tokenizers[path] = (t, added, {}, np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32)
     return _tokenizers[path]
 
 
+def _encode_each(chunks: list[bytes], path: str) -> list[bytes]:
+    """Ids of each chunk. Chunks of letters only are one pre-token each, so many are encoded as one text and cut where a token ends a word; a text whose number of word ends is another is encoded chunk by chunk."""
+    t, _, _, kind = _tokenizer(path)
+    last, width = _ends[path], np.dtype(kind).itemsize
+    texts = [c.decode() for c in chunks]
+    out: list[bytes] = [b""] * len(texts)
+    plain = [i for i, x in enumerate(texts) if x.isalpha()]
+    alone = [i for i, x in enumerate(texts) if not x.isalpha()]
+    for k in range(0, len(plain), 20_000):
+        groups = [plain[g : g + 200] for g in range(k, min(k + 20_000, len(plain)), 200)]
+        for own, e in zip(groups, t.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, dtype=kind)
+            cut = np.flatnonzero(last[ids]) + 1
+            if len(cut) != len(own) or len(ids) != cut[-1]:
+                alone += own
+                continue
+            data, s = ids.tobytes(), 0
+            for i, stop in zip(own, (cut * width).tolist(), strict=True):
+                out[i] = data[s:stop]
+                s = stop
+    for k in range(0, len(alone), 20_000):
+        some = alone[k : k + 20_000]
+        for i, e in zip(some, t.encode_batch_fast([texts[i] for i in some], add_special_tokens=False), strict=True):
+            out[i] = np.asarray(e.ids, dtype=kind).tobytes()
+    return out
+
+
 def encode_words(texts: list[bytes], path: str) -> tuple[list[bytes], type]:
     """Ids of every text as packed little-endian integers. White space always ends a word of this vocabulary, so words are encoded once and cached; a text that spells an added token goes to the library whole."""
     t, added, cache, kind = _tokenizer(path)
@@ -64,11 +94,8 @@ def encode_words(texts: list[bytes], path: str) -> tuple[list[bytes], type]:
     if len(cache) + len(missing) > CACHE:
         cache.clear()
         missing = {w for c in cut if c for w in c}
-    missing = list(missing)
-    for k in range(0, len(missing), 20_000):
-        some = missing[k : k + 20_000]
-        for w, e in zip(some, t.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-            cache[w] = np.asarray(e.ids, dtype=kind).tobytes()
+    if missing:
+        cache.update(zip(missing, _encode_each(list(missing), path), strict=True))
     get = cache.__getitem__
     return [np.asarray(t.encode(x.decode(), add_special_tokens=False).ids, dtype=kind).tobytes() if c is None else b"".join(map(get, c)) for x, c in zip(texts, cut, strict=True)], kind
 
