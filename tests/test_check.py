@@ -1,0 +1,297 @@
+"""Alignment, findings, the check over DataFrames, reports, sources, command line and stream."""
+
+import gzip
+import http.server
+import io
+import json
+import random
+import threading
+import zlib
+from itertools import product
+
+import pytest
+from twinfold import cli
+from twinfold.functions.text import loose_normalize
+from twinfold.operators import compare as C
+from twinfold.operators.align import AlignmentLimitError, Pair, align, longest_chain, mark_reordered, rank_join, similar_candidates
+from twinfold.operators.html_blocks import extract_html
+from twinfold.operators.markdown_blocks import extract_markdown
+from twinfold.operators.report import render_json, render_text, report
+from twinfold.options import Limits, Options, positive_int
+from twinfold.plans.check import check, check_pair, delivery_findings
+from twinfold.sources import files, http as web
+
+BASE = "https://example.com/page"
+
+
+def codes(fragment, markdown, base=BASE, **o):
+    got = check_pair(f"<main>{fragment}</main>", markdown, base, base, Options(**o))
+    assert got["error"] is None, got["error"]
+    return [f["code"] for f in got["findings"]]
+
+
+@pytest.mark.parametrize(("fragment", "markdown", "out"), [
+    ("<h1>T</h1><p>a</p>", "# T\n\na", []), ("<p>The whole audit costs just 490 €</p>", "The whole audit costs just 590 €", ["NUMBER_CHANGED"]), ("<p>Hello World again</p>", "hello, world again", ["TEXT_MINOR_CHANGED"]), ("<p>one two three four</p>", "one two three five", ["ALIGNMENT_UNCERTAIN", "TEXT_CHANGED"]),
+    ("<p>a b</p><p>c d</p>", "a b", ["BLOCK_MISSING"]), ("<p>a b</p>", "a b\n\nc d", ["BLOCK_ADDED"]), ("<p>a</p><p>b</p><p>c</p>", "c\n\na\n\nb", ["ORDER_CHANGED"]), ("<p>a</p>", "- a", ["STRUCTURE_CHANGED"]), ("<h2>T</h2>", "### T", ["HEADING_LEVEL_CHANGED"]),
+    ("<ul><li>a</ul>", "1. a", ["LIST_KIND_CHANGED"]), ("<ol><li>a</ol>", "2. a", ["LIST_NUMBER_CHANGED"]), ("<ul><li>p<ul><li>a</ul></ul>", "- p\n- a", ["LIST_NESTING_CHANGED"]), ("<ul><li><input type=checkbox checked>a</ul>", "- [ ] a", ["LIST_TASK_CHANGED"]),
+    ("<table><tr><td>a<td>b<tr><td>1<td>2</table>", "a|b\n-|-\n1|3", ["TABLE_CELL_CHANGED"]), ("<table><tr><td>a<td>b<td>c<td>d<td>e<tr><td>1<td>2</table>", "a|b|c|d|e\n-|-|-|-|-", ["TABLE_SHAPE_CHANGED"]), ("<table><tr><td>a<td>b<tr><td colspan=2>1</table>", "a|b\n-|-\n1|2", ["EXTRACTION_TABLE_SPAN_NOT_COMPARED"]),
+    ("<pre>a  b</pre>", "```\na b\n```", ["CODE_WHITESPACE_CHANGED"]), ("<pre>a b c</pre>", "```\na b d\n```", ["ALIGNMENT_UNCERTAIN", "TEXT_CHANGED"]), ("<p><a href=/x>t</a></p>", "[t](/y)", ["LINK_TARGET_CHANGED"]), ("<p><a href=/x>t</a> u</p>", "t u", ["LINK_MISSING"]), ("<p>t u</p>", "[t](/x) u", ["LINK_ADDED"]),
+    ("<p><a href=/a>t</a> <a href=/b>t</a></p>", "[t](/b) [t](/a)", ["LINK_TARGET_CHANGED"] * 2), ("<p><a href=/a>?</a> x</p>", "[!](/a) x", ["TEXT_MINOR_CHANGED"]), ("<p>a b c d</p><p>x</p><p>A, b c d</p>", "A, b c d\n\nx\n\na b c d", ["ORDER_CHANGED", "ORDER_CHANGED"]),
+])
+def test_findings(fragment, markdown, out):
+    assert sorted(codes(fragment, markdown)) == sorted(out)
+
+
+def test_links_without_base():
+    assert codes("<p><a href=../a>t</a></p>", "[t](a)", base=None) == ["LINK_UNVERIFIED"]
+    assert codes("<p><a href=./a>t</a></p>", "[t](a)", base=None) == []
+    assert codes("<p><a href=b>t</a></p>", "[t](a)", base=None) == ["LINK_TARGET_CHANGED"]
+
+
+def test_masked_values_never_show():
+    for h, m in (("<p>see https://h.example/x?t=5551</p>", "see https://h.example/x?t=7772"), ("<p><a href='https://u:5551@h/x'>t</a></p>", "[t](https://u:7772@h/x)")):
+        got = check_pair(f"<main>{h}</main>", m, BASE, BASE, Options())
+        shown = render_json(report(got | {"pair_id": "1"})) + render_text(report(got | {"pair_id": "1"}))
+        assert got["findings"] and "5551" not in shown and "7772" not in shown
+
+
+def test_order_is_stable():
+    got = check_pair("<main><p>w x y z a 1</p><p>b</p><p>gone away</p></main>", "w x y z a 2\n\nb\n\nnew thing here", BASE, BASE, Options())
+    assert [f["code"] for f in got["findings"]] == ["NUMBER_CHANGED", "BLOCK_MISSING", "BLOCK_ADDED"]
+
+
+def test_duplicate_keeps_the_walk():
+    a = extract_html("<main><p>x</p><p>y</p><p>x</p><p>z</p><p>x</p></main>")["blocks"]
+    b = extract_markdown("x\n\ny\n\nz\n\nx")["blocks"]
+    pairs, gone, _ = align(a, b)
+    assert gone == [2] and [(p.a, p.b) for p in pairs] == [(0, 0), (1, 1), (3, 2), (4, 3)]
+
+
+def brute_chain(ka, kb, sa, sb):
+    best = {}
+    for i in range(len(ka), -1, -1):
+        for j in range(len(kb), -1, -1):
+            options = [(0, 0)]
+            if i < len(ka):
+                options.append(best[i + 1, j])
+            if j < len(kb):
+                options.append(best[i, j + 1])
+            if i < len(ka) and j < len(kb) and ka[i] == kb[j]:
+                n, s = best[i + 1, j + 1]
+                options.append((n + 1, s + (sa[i] == sb[j])))
+            best[i, j] = max(options)
+    return best[0, 0]
+
+
+def test_chain_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(200):
+        ka, kb = ([rng.choice("abc") for _ in range(rng.randrange(9))] for _ in range(2))
+        sa, sb = ([rng.choice("xy") for _ in k] for k in (ka, kb))
+        got = longest_chain(ka, kb, sa, sb)
+        assert all(ka[i] == kb[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+        assert (len(got), sum(sa[i] == sb[j] for i, j in got)) == brute_chain(ka, kb, sa, sb)
+
+
+def test_reorder_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(100):
+        n = rng.randrange(2, 8)
+        perm = rng.sample(range(n), n)
+        pairs = [Pair(i, perm[i], rng.choice(("exact", "loose")), 1.0) for i in range(n)]
+        loose = sum(p.kind == "loose" for p in pairs)
+        mark_reordered(pairs)
+        if not loose:
+            continue
+        weight = [loose + 1 if p.kind == "exact" else 1 for p in pairs]
+        best = max(sum(w for k, w in enumerate(weight) if pick[k]) for pick in product((0, 1), repeat=n) if all(perm[a] < perm[b] for a in range(n) for b in range(a + 1, n) if pick[a] and pick[b]))
+        kept = sum(w for p, w in zip(pairs, weight, strict=True) if p.kind == "loose" and not p.reordered)
+        assert kept == best % (loose + 1)
+
+
+def test_limits():
+    blocks = extract_markdown("\n\n".join(f"w{i} x y" for i in range(40)))["blocks"]
+    other = extract_markdown("\n\n".join(f"v{i} x y" for i in range(40)))["blocks"]
+    for limit in (Limits(max_alignment_pairs=1599), Limits(max_similarity_candidates=100), Limits(max_similarity_work=100)):
+        with pytest.raises(AlignmentLimitError):
+            align(blocks, other, limit)
+    align(blocks, other, Limits(max_alignment_pairs=1600))
+    for bad in (0, -1, float("nan"), True, "5"):
+        with pytest.raises(TypeError):
+            Limits(max_alignment_pairs=bad)
+    with pytest.raises(ValueError):
+        Options(selector=" ")
+    assert positive_int("x", "7", 1) == 7
+    for bad in ("0", "-1", "1.5", "٣", "99999999999"):
+        with pytest.raises(ValueError):
+            positive_int("x", bad, 1)
+
+
+def test_numbers_and_links_kernel():
+    assert C.diff_numbers(["1", "2"], ["1", "2"]) is None
+    assert C.diff_numbers(["1", "1", "2"], ["1", "3"]) == (["1", "2"], ["3"])
+    assert C.diff_numbers(["1", "2"], ["2", "1"]) == (["1", "2"], ["2", "1"])
+    link = lambda t, u: {"text": t, "rawHref": u, "resolved": u, "masked": False}
+    h, m = [link("d", "h:1"), link("d", "h:2")], [link("d", "h:0"), link("d", "h:1"), link("d", "h:2")]
+    assert C.pair_links(h, m) == ([(0, 1), (1, 2)], [], [0])
+    assert C.pair_links(h, [link("d", "h:2"), link("d", "h:9"), link("d", "h:1")]) == ([(0, 0), (1, 1)], [], [2])
+    assert C.pair_links([link("Go!", "h:1")], [link("go", "h:2")]) == ([(0, 0)], [], [])
+    with pytest.raises(AlignmentLimitError):
+        C.pair_links(h, m, 1)
+
+
+def test_relational_steps(spark):
+    a = spark.createDataFrame([("p", i, t) for i, t in enumerate(["x", "y", "x", "z"])], "pair_id string, idx int, text string")
+    b = spark.createDataFrame([("p", i, t) for i, t in enumerate(["x", "x", "x", "w"])], "pair_id string, idx int, text string")
+    assert sorted((r.a, r.b) for r in rank_join(a, b, ["text"]).collect()) == [(0, 0), (2, 1)]
+    rng = random.Random(4)
+    mk = lambda: [("p", i, "paragraph", " ".join(rng.choice("abcdef") for _ in range(rng.randrange(6)))) for i in range(12)]
+    left, right = mk(), mk()
+    schema = "pair_id string, idx int, grp string, loose string"
+    got = {(r.a, r.b): round(r.similarity, 9) for r in similar_candidates(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()}
+    from twinfold.functions.text import dice, tokens
+
+    want = {(x[1], y[1]): round(s, 9) for x in left for y in right if (s := dice(tokens(x[3]), tokens(y[3]))) >= 0.6}
+    assert got == want
+
+
+PAIRS = [
+    ("1", "<main><p>a</p></main>", "a", BASE, BASE, "url", 200, "text/markdown"), ("2", "<main><p>a</p></main>", "b 5", BASE, BASE, "url", 200, "text/plain; x"), ("3", "<main><p>a</p></main>", "<!-- c --><?xml?><!DOCTYPE html><p>", BASE, BASE, "url", 200, "text/markdown"),
+    ("4", "<main></main>", "a", BASE, BASE, "file", None, None), ("5", None, "a", None, None, "file", None, None), ("6", "<main><p>a</p></main>", "a", BASE, BASE, "url", 503, None), ("7", "<main><p>a</p></main>", "<!-- never closed <html>", BASE, BASE, "url", 200, "x/y"), ("8", "<main>" + "<div>" * 1100, "a", None, None, "file", None, None),
+]
+
+
+def test_check_over_pairs(spark):
+    df = spark.createDataFrame(PAIRS, "pair_id string, html string, markdown string, html_base string, md_base string, kind string, md_status int, md_content_type string")
+    got = {r.pair_id: r for r in check(df).summary.collect()}
+    assert {k: (r.result, r.exit_code) for k, r in got.items()} == {"1": ("pass", 0), "2": ("fail", 1), "3": ("fail", 1), "4": ("error", 2), "5": ("error", 2), "6": ("fail", 1), "7": ("fail", 1), "8": ("error", 2)}
+    assert {r.pair_id: r.code for r in delivery_findings(df).collect()} == {"2": "DELIVERY_CONTENT_TYPE_PLAIN", "3": "DELIVERY_MARKDOWN_IS_HTML", "6": "DELIVERY_HTTP_ERROR", "7": "DELIVERY_UNEXPECTED_CONTENT_TYPE"}
+    plan = check(df).findings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # nothing is shuffled
+    one = check(df.where("pair_id = '1'").select("pair_id", "html", "markdown"), Options(strict=True))
+    assert one.exit_code() == 0 and check(df.limit(0)).exit_code() == 0
+
+
+def test_report_forms():
+    row = check_pair("<main><p>w x y z a 1</p></main>", "w x y z a 2\n", BASE, BASE, Options()) | {"pair_id": "7"}
+    r = report(row, strict=True)
+    back = json.loads(render_json(r))
+    assert back["summary"]["exitCode"] == 1 and back["summary"]["coverage"]["htmlRatio"] == 1 and '"htmlRatio": 1,' in render_json(r)
+    assert "NUMBER_CHANGED" in render_text(r) and render_text(r).count("\n") == len(render_text(r).splitlines())
+    row = check_pair("<main></main>", "a", None, None, Options()) | {"pair_id": "8"}
+    assert json.loads(render_json(report(row)))["summary"]["error"] and "ERROR" in render_text(report(row))
+
+
+@pytest.mark.parametrize(("data", "kind", "out"), [
+    (b"\xef\xbb\xbfa", None, "a"), (b"caf\xe9", "text/html; charset=latin1", "caf\xe9"), (b"<meta charset=windows-1252>\x80", "text/html", "<meta charset=windows-1252>€"), (b"<meta charset=utf-16>\xc3\xa9", "text/html", "<meta charset=utf-16>\xe9"),
+    (b"<meta charset=latin1>\xc3\xa9", "text/plain", "<meta charset=latin1>\xe9"), (b"\xff\xfea\x00", "text/html; charset=utf-8", "a"), (b"\xc3\xa9", "text/html; charset=nope", "\xe9"), (b"<!-- <meta charset=latin1> -->\xc3\xa9", "text/html", "<!-- <meta charset=latin1> -->\xe9"),
+])
+def test_decode(data, kind, out):
+    assert files.decode_bytes(data, kind) == out
+
+
+def test_decompress():
+    assert files.decompress(gzip.compress(b"a"), "GZIP") == files.decompress(zlib.compress(b"a"), "deflate") == files.decompress(b"a", None) == b"a"
+    with pytest.raises(ValueError):
+        files.decompress(b"a", "br")
+
+
+def test_files(spark, tmp_path):
+    for side, end, body in (("h", "html", "﻿<main><p>a</p></main>"), ("m", "md", "a")):
+        (tmp_path / side).mkdir()
+        (tmp_path / side / f"x.{end}").write_text(body, encoding="utf-8")
+    pairs = files.read_pairs(spark, str(tmp_path / "h"), str(tmp_path / "m"), BASE)
+    assert check(pairs).exit_code() == 0 and pairs.first().html.startswith("<main>")
+    assert files.read_documents(spark, str(tmp_path / "m"), max_bytes=0 + 1).first().error is None
+    assert files.read_documents(spark, str(tmp_path / "h"), max_bytes=5).first().error == "too_large"
+
+
+class Site(http.server.BaseHTTPRequestHandler):
+    def do_GET(self):  # noqa: N802
+        p = self.path
+        if p.startswith("/hop"):
+            n = int(p[4:] or 0)
+            self.send_response(302)
+            self.send_header("Location", f"/hop{n - 1}" if n else "/page")
+            self.end_headers()
+            return
+        if p in ("/loop", "/lost", "/bad"):
+            self.send_response(301)
+            if p != "/lost":
+                self.send_header("Location", "/loop" if p == "/loop" else "http://10.0.0.1/")
+            self.end_headers()
+            return
+        md = "markdown" in self.headers["Accept"]
+        body = b"a" if md else b"<main><p>a</p></main>"
+        body = b"x" * 5000 if p == "/big" else body
+        self.send_response(404 if p == "/none" else 200)
+        self.send_header("Content-Type", "text/markdown" if md else "text/html")
+        if p == "/gz":
+            body = gzip.compress(body)
+            self.send_header("Content-Encoding", "gzip")
+        if p == "/br":
+            self.send_header("Content-Encoding", "br")
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture(scope="module")
+def site():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_fetch(spark, site):
+    o = web.FetchOptions(allow_hosts=frozenset(("127.0.0.1",)), max_bytes=1000, timeout_s=5)
+    assert web.fetch(f"{site}/page", o)["body"].startswith("<main>") and web.fetch(f"{site}/gz", o)["body"].startswith("<main>")
+    got = web.fetch(f"{site}/hop3?token=s3cret", o)
+    assert web.fetch(f"{site}/hop3", o)["redirects"] == 4 and "s3cret" not in str(got)
+    for path, kind in (("/hop9", "too_many_redirects"), ("/loop", "redirect_loop"), ("/lost", "protocol"), ("/bad", "blocked"), ("/big", "too_large"), ("/br", "protocol")):
+        assert web.fetch(site + path, o)["error_kind"] == kind, path
+    for url, kind in (("ftp://h/", "invalid_url"), ("http://u:p@h/", "invalid_url"), ("x", "invalid_url"), ("http://127.0.0.1/", "blocked"), ("http://localhost/", "blocked")):
+        assert web.fetch(url)["error_kind"] == kind
+    pairs = web.fetch_pairs(spark.createDataFrame([("1", f"{site}/page", None)], "pair_id string, url string, markdown_url string"), o)
+    assert check(pairs).exit_code() == 0
+
+
+def test_cli(tmp_path):
+    h, m = tmp_path / "a.html", tmp_path / "a.md"
+    h.write_text("<main><p>w x y z a 1</p></main>")
+    m.write_text("w x y z a 2")
+
+    def run(*argv):
+        out, err = io.StringIO(), io.StringIO()
+        return cli.main(list(argv), out, err), out.getvalue(), err.getvalue()
+
+    files_ = ("--html-file", str(h), "--markdown-file", str(m))
+    code, out, _ = run(*files_, "--format", "json")
+    assert code == 1 and json.loads(out)["findings"][0]["code"] == "NUMBER_CHANGED"
+    assert run(*files_, "--output", str(tmp_path / "r.txt"))[0] == 1 and "FAIL" in (tmp_path / "r.txt").read_text()
+    assert run(*files_, "--output", str(m))[0] == 2 and m.read_text() == "w x y z a 2"
+    for bad in ((), ("--html-file", str(h)), ("--url", "https://u:p4ss@h/"), (*files_, "--timeout-ms", "0"), (*files_, "--selector", " "), ("--html-file", str(h), "--markdown-file", str(tmp_path / "no"))):
+        code, _, err = run(*bad)
+        assert code == 2 and err.count("\n") == 1 and "p4ss" not in err
+    assert run(*files_, "--selector", "h9")[0] == 2
+
+
+def test_stream(spark, tmp_path):
+    from twinfold.streaming.monitor import latest, monitor, windowed_counts
+
+    schema = "pair_id string, html string, markdown string"
+    spark.createDataFrame([("1", "<main>a</main>", "a"), ("2", "<main>a</main>", "b")], schema).write.parquet(str(tmp_path / "in"))
+    seen = []
+    q = monitor(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), lambda r, n: seen.extend((x.pair_id, x.result) for x in r.summary.collect()), str(tmp_path / "cp"))
+    q.awaitTermination(60)
+    assert sorted(seen) == [("1", "pass"), ("2", "fail")]
+    rows = spark.createDataFrame([(1, "2026-01-01 00:10:00", "a"), (1, "2026-01-01 00:50:00", "a"), (2, "2026-01-01 01:10:00", "a")], "u int, s string, event_type string").selectExpr("u", "cast(s as timestamp) as ts", "event_type")
+    assert sorted(r.n for r in windowed_counts(rows).collect()) == [1, 2] and latest(rows, "u", "ts").count() == 2
+
+
+def test_loose_is_stable():
+    assert loose_normalize(loose_normalize("A—b  c!")) == loose_normalize("A—b  c!")

@@ -69,12 +69,14 @@ def parse(source: str, close: bool = True) -> Element:
             stack[-1].children.append(Text(data if literal else _html.unescape(data), stack[-1], start))
 
     def close_upto(names) -> None:
+        hit = None
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in names:
-                del stack[i:]
-                return
-            if stack[i].name in _WALLS:
-                return
+                hit = i
+            elif stack[i].name in _WALLS:
+                break
+        if hit is not None:
+            del stack[hit:]
 
     while at < n:
         lt = source.find("<", at)
@@ -214,6 +216,8 @@ def compile_selector(text: str) -> list[list[tuple[str, list]]]:
         if not alternative:
             raise SelectorError(text)
         parts = re.findall(r"\s*[>+~]\s*|\s+|(?:\[[^\]]*\]|\((?:[^()]|\([^()]*\))*\)|[^\s>+~\[(])+", alternative)
+        if "".join(parts) != alternative:
+            raise SelectorError(text)
         chain, comb = [], ""
         for p in parts:
             if not p.strip() or p.strip() in (">", "+", "~"):
