@@ -43,17 +43,13 @@ class BlockMaxIndex:
 
     def __init__(self, rows: list[dict[int, float]], n_terms: int):
         rows = [self.unit(r) for r in rows]
-        n_blocks = max(1, -(-len(rows) // BLOCK))
-        self.bound = np.zeros((n_terms, n_blocks), np.float64)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, r in enumerate(rows):
-            for t, w in r.items():
-                postings[t].append((i, w))
-                self.bound[t, i // BLOCK] = max(self.bound[t, i // BLOCK], w)
-        self.ids = [np.array([p[0] for p in x], np.int64) for x in postings]
-        self.weights = [np.array([p[1] for p in x], np.float64) for x in postings]
-        self.cuts = [np.searchsorted(x, np.arange(n_blocks + 1) * BLOCK) for x in self.ids]
-        self.n = len(rows)
+        self.n, n_blocks = len(rows), max(1, -(-len(rows) // BLOCK))
+        self.bound = np.zeros((n_terms, n_blocks))
+        entries = sorted((t, i, w) for i, r in enumerate(rows) for t, w in r.items())
+        term, self.ids = (np.array([e[k] for e in entries], np.int64) for k in (0, 1))
+        self.weights = np.array([e[2] for e in entries])
+        np.maximum.at(self.bound, (term, self.ids // BLOCK), self.weights)
+        self.start = np.searchsorted(term, np.arange(n_terms + 1))
 
     @staticmethod
     def unit(row: dict[int, float]) -> dict[int, float]:
@@ -61,37 +57,37 @@ class BlockMaxIndex:
         return {t: w / norm for t, w in sorted(row.items())} if norm else {}
 
     def top(self, query: dict[int, float], k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest with a cosine above 0, best first, ties by row. leave: a row that doesn't count."""
+        """Rows and cosines of the k nearest with a cosine above 0, best first, ties by row. leave: a row that doesn't count.
+
+        The blocks of the largest bounds are scored first; then, at once, all other blocks whose bound reaches the k-th best.
+        """
         query = self.unit(query)
         if not query:
             return np.zeros(0, np.int64), np.zeros(0)
-        terms = list(query)
-        weights = np.array([query[t] for t in terms])
+        terms = np.fromiter(query, np.int64, len(query))
+        weights = np.fromiter(query.values(), np.float64, len(query))
         bounds = weights @ self.bound[terms]
-        order = np.argsort(-bounds, kind="stable")
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 8
-        while at < len(order) and bounds[order[at]] > 0:
-            if len(ids) == k and scores[-1] > bounds[order[at]] + 1e-12:
-                break
-            blocks = [b for b in order[at : at + step] if bounds[b] > 0]
-            dense = np.zeros((len(blocks), BLOCK))
-            for t, w in zip(terms, weights, strict=True):
-                cut = self.cuts[t]
-                for row, b in enumerate(blocks):
-                    s, e = cut[b], cut[b + 1]
-                    if s < e:
-                        dense[row, self.ids[t][s:e] - b * BLOCK] += w * self.weights[t][s:e]
-            found = np.flatnonzero(dense)
-            all_ids = np.concatenate([ids, np.asarray(blocks)[found // BLOCK] * BLOCK + found % BLOCK])
-            all_scores = np.concatenate([scores, dense.ravel()[found]])
-            keep = all_ids != leave
-            all_ids, all_scores = all_ids[keep], all_scores[keep]
-            best = np.lexsort((all_ids, -np.round(all_scores, 12)))[:k]
-            ids, scores = all_ids[best], all_scores[best]
-            at += step
-            step *= 2
-        return ids, scores
+        size = self.start[terms + 1] - self.start[terms]
+        at = np.arange(int(size.sum())) + np.repeat(self.start[terms] - (np.cumsum(size) - size), size)
+        ids, part = self.ids[at], np.repeat(weights, size) * self.weights[at]
+        block = ids // BLOCK
+        first = np.zeros(len(bounds), bool)
+        first[np.argsort(-bounds, kind="stable")[:8]] = True
+        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+        for allowed in (first, None):
+            if allowed is None:
+                least = best[-1] - 1e-9 if len(best) == k else 0.0
+                allowed = ~first & (bounds > 0) & (bounds >= least)
+                if not allowed.any():
+                    break
+            inside = allowed[block]
+            scores = np.bincount(ids[inside], weights=part[inside], minlength=self.n)
+            found = np.flatnonzero(scores)
+            found = found[found != leave]
+            found, scores = np.concatenate([best_ids, found]), np.concatenate([best, scores[found]])
+            keep = np.lexsort((found, -np.round(scores, 12)))[:k]
+            best_ids, best = found[keep], scores[keep]
+        return best_ids, best
 
 
 class ToxicityModel:
@@ -99,32 +95,38 @@ class ToxicityModel:
         """examples: (id, text, label); share: of label 1 among all labelled rows that may be learnt from."""
         examples = sorted(examples)
         self.share = share
-        counts = [Counter(t for w in _WORD.findall(text.lower()) for t in word_terms(w)) for _, text, _ in examples]
         label = np.array([y for _, _, y in examples], np.float64)
         n, pos = len(examples), float(label.sum())
         self.terms: dict[str, int] = {}
+        self.heads: set[str] = set()
         self.index = None
         if not 0 < pos < n:
             return
         df = [Counter(), Counter()]
-        for c, y in zip(counts, label, strict=True):
-            df[int(y)].update(c.keys())
+        for y in (1, 0):  # of the clean texts, only terms that toxic ones have are counted
+            for _, text, own in examples:
+                if own == y:
+                    terms = {t for w in set(_WORD.findall(text.lower())) for t in word_terms(w)}
+                    df[y].update(terms if y else terms & df[1].keys())
+            if y:
+                df[1] = Counter({t: a for t, a in df[1].items() if a >= 3})
         rated = []
         for t, a in df[1].items():
             b = df[0][t]
             expect = (a + b) * pos / n
-            if a >= 3 and a > 2 * expect:
+            if a > 2 * expect or b == 0:
                 chi = (a - expect) ** 2 * n * n / ((a + b) * pos * (n - pos)) * n / max(1, n - a - b)
                 if chi > 15:
                     rated.append((-chi, t))
         rated.sort()
         self.terms = {t: i for i, (_, t) in enumerate(rated[:MOST_TERMS])}
+        self.heads = {t[:4] for t in self.terms}
         if not self.terms:
             return
         self.idf = np.zeros(len(self.terms))
         for t, i in self.terms.items():
             self.idf[i] = 1 + math.log(n / (df[0][t] + df[1][t]))
-        rows = [self.weighted({self.terms[t]: k for t, k in c.items() if t in self.terms}) for c in counts]
+        rows = [self.weighted(Counter(self.chunk(text))) for _, text, _ in examples]
         inside = [i for i, r in enumerate(rows) if r]
         outside = [i for i, r in enumerate(rows) if not r]
         weight = np.where(label == 1, share / pos, (1 - share) / (n - pos))
@@ -159,8 +161,9 @@ class ToxicityModel:
         return beta
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
-        terms = self.terms
-        return tuple(terms[t] for w in _WORD.findall(chunk.lower()) for t in word_terms(w) if t in terms)
+        """Terms of a stretch of text."""
+        terms, heads = self.terms, self.heads
+        return tuple(terms[t] for w in _WORD.findall(chunk.lower()) if w[:4] in heads for t in word_terms(w) if t in terms)
 
     def score(self, found: list[int]) -> tuple[float, list[int], list[float]]:
         """Score of a text by its terms, with the evidence: nearest examples and their cosines."""
