@@ -29,9 +29,9 @@ _SPLIT = regex.compile(rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p
 _RUNS = regex.compile(rb"[\t-\r ]{2}|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Entries of a worker's cache of pieces before it is emptied.
 CACHE = 400_000
-#: A comma or full stop between a letter and white space is a token of its own; a mark is put before it, so that it is cut off there.
+#: A comma or full stop between a letter and white space is a token of its own; a mark that UTF-8 can't hold is put before it, so that it is cut off there.
 _POINT = re.compile(rb"([,.])(?:(?<=[a-zA-Z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \n])")
-_MARK = b" \x01"
+_MARK = b" \xff"
 
 
 def byte_alphabet() -> list[str]:
@@ -136,9 +136,9 @@ class PairIndexBPE:
         """Runs of data that the pre-tokenizer never joins; cut before each single space, or by the pattern where white space comes in runs."""
         if not data:
             return []
-        if b"\x01" in data or _RUNS.search(data):
+        if _RUNS.search(data):
             return [m.encode() for m in _SPLIT.findall(data.decode())]
-        head, *rest = _POINT.sub(b" \x01\\1", data).split(b" ")
+        head, *rest = _POINT.sub(b" \xff\\1", data).split(b" ")
         out = [b" " + x for x in rest]
         return [head, *out] if head else out
 
