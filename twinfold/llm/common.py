@@ -59,6 +59,14 @@ def _forget(spark: SparkSession, root: str) -> None:
         _roots.discard(root)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one, that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(column: str, n: int):
     """crc32(id as text) mod n, the fold rule of the labelled operators."""
     return F.crc32(F.col(column).cast("string")) % n
@@ -195,36 +203,42 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Edges that one task contracts at a time in components().
+PART_EDGES = 2_000_000
+
+
+def components(edges: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
     """Connected components of the undirected edges (a, b) of longs: (node, component), component being the smallest node that is reachable.
 
-    Each round contracts the edges of every partition to stars by union-find (a hot vertex
-    leaves each partition as one edge), then gathers by vertex the roots that the
-    partitions gave it (as many as partitions at most): where there are several, they hang
-    at the smallest one in the next round. One shuffle a round, of vertices, not of edges;
-    nothing gathers at the driver, and each round is a written table. Empty edges give no
-    rows; self-links and repeated edges are harmless.
+    A level contracts the edges, part_edges to a task, to stars by union-find, and gathers by
+    vertex the roots that the tasks gave it (one a task at most, so a hot vertex is no hot
+    group). Where a vertex got several, these roots are one component: they are the edges of the next, smaller
+    level. Labels then pass back down, a join a level. Edges that fit one task need no
+    shuffle at all. Every level is a written table; nothing gathers at the driver. Empty
+    edges give no rows; self-links and repeated edges are harmless.
     """
-    spark = edges.sparkSession
 
     def contract(batches):
-        parts = [(x.column(0).to_numpy(zero_copy_only=False), x.column(1)) for x in batches if x.num_rows]
-        if parts:
-            pairs = []
-            for a, b in parts:
-                if pa.types.is_list(b.type):
-                    size = pc.list_value_length(b).to_numpy(zero_copy_only=False)
-                    a, b = np.repeat(a, size), b.flatten()
-                pairs.append((a, b.to_numpy(zero_copy_only=False)))
+        pairs = [(x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False)) for x in batches if x.num_rows]
+        if pairs:
             nodes, low = local_roots(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
             for i in range(0, len(nodes), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(low[i : i + 100_000])], names=["a", "b"])
 
-    pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
-    state, path = written(pairs)
-    for _ in range(most_rounds):
-        stars = state.mapInArrow(contract, "a long, b long")
-        state, path = written(stars.groupBy("a").agg(F.collect_set("b").alias("b")), path)
-        if not state.where("size(b) > 1").limit(1).count():
-            return state.select(F.col("a").alias("node"), F.col("b")[0].alias("component"))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    state, _ = written(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null"))
+    levels, labels = [], None
+    while n := state.count():
+        tasks = -(-n // part_edges)
+        stars = state.coalesce(tasks).mapInArrow(contract, "a long, b long")
+        if tasks == 1:
+            labels, _ = written(stars)
+            break
+        level, _ = written(stars.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("b")))
+        levels.append(level)
+        state, _ = written(level.where("size(b) > 1").select(F.explode(F.slice("b", 2, 1 << 30)).alias("a"), F.col("b")[0].alias("b")))
+    out = labels
+    for level in reversed(levels):
+        low = level.select(F.col("a").alias("v"), F.col("b")[0].alias("low"))
+        out = low.select(F.col("v").alias("a"), F.col("low").alias("b")) if out is None else low.join(out, low.low == out.a, "left").select(F.col("v").alias("a"), F.coalesce("b", "low").alias("b"))
+    out = state if out is None else out
+    return out.select(F.col("a").alias("node"), F.col("b").alias("component"))
