@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import inside_texts, mix, raw, rolled, slices, word_hashes, words, written
+from .common import free_name, inside_texts, mix, raw, rolled, slices, word_hashes, words, written
 
 WIDTH, ANCHOR = 20, 10
 #: Text of a block; a longer text is a block alone.
@@ -256,7 +256,9 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with repeated windows cut from text (white space around kept words stays as it was written), all other columns unchanged."""
     names = docs.columns
     found = repeated_starts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t")), width)
-    joined = docs.join(found, docs.doc_id.cast("long") == found.d, "left").drop("d")
+    own, places = (free_name(docs, x) for x in ("cut_doc", "cut_places"))
+    found = found.withColumnsRenamed({"d": own, "places": places})
+    joined = docs.join(found, docs.doc_id.cast("long") == found[own], "left")
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, places: pa.Array) -> pa.Array:
@@ -275,4 +277,4 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             out.append(None if x is None else x.decode())
         return pa.array(out, pa.string())
 
-    return joined.select([cut(F.col("text"), F.col("places")).alias(n) if n == "text" else F.col(f"`{n}`") for n in names])
+    return joined.select([cut(F.col("text"), F.col(places)).alias(n) if n == "text" else F.col(f"`{n}`") for n in names])
