@@ -155,16 +155,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _dimension(rows: DataFrame) -> int | None:
+    """The commonest length of vectors that can link."""
+    found = rows.where("v is not null").groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    return found.d if found else None
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
     rows, _ = written(_unit(vectors, id_col, vector_col))
-    dims = rows.where("v is not null").groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    dims = _dimension(rows)
     if dims is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    reps, _ = written(rows.where(F.size("v") == dims.d).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    reps, _ = written(rows.where(F.size("v") == dims).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     total = reps.count()
-    sample = reps.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(max(1, min(SAMPLE, 4_000_000 // dims.d)))
+    sample = reps.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(max(1, min(SAMPLE, 4_000_000 // dims)))
     centroids = kmeans(_matrix(sample.toArrow().column("v")), max(1, min(MOST_SHARDS, total // PER_SHARD)))
     overlap = min(OVERLAP, len(centroids))
     shared = spark.sparkContext.broadcast(centroids)
@@ -248,6 +254,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
 def audit(vectors: DataFrame, result: DataFrame, every: int = 20, least: float = 0.95, most: int = 2000, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
     """Recall of result's n_links for queries whose id is divisible by every (the most smallest ids), each compared with all rows in blocks."""
     rows = _unit(vectors, id_col, vector_col).where("v is not null")
+    rows = rows.where(F.size("v") == F.lit(_dimension(rows)))
     asked = rows.where(F.col("vec_id") % every == 0).orderBy("vec_id").limit(most).toArrow()
     if not asked.num_rows:
         return 1.0
