@@ -84,5 +84,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_link_graph, op2_wrappers, op3_language, op4_flat_graph, op5_pack, op6_substring, op7_image_copies, op8_bpe, op9_toxicity, op10_simhash)}
 
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 20], ' ') AS k FROM (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS i FROM d WHERE len(w) >= 20)),
+f AS (SELECT doc_id, i, first_value(doc_id) OVER o AS fd, first_value(i) OVER o AS fi FROM s WINDOW o AS (PARTITION BY k ORDER BY doc_id, i)),
+g AS (SELECT DISTINCT doc_id, i + unnest(range(0, 20)) AS p FROM f WHERE NOT (fd = doc_id AND fi = i)),
+e AS (SELECT d.doc_id, d.w, unnest(range(0, greatest(len(d.w), 1))) AS p FROM d),
+k AS (SELECT e.doc_id, count(*) FILTER (g.p IS NOT NULL) AS n_removed, coalesce(string_agg(CASE WHEN g.p IS NULL THEN e.w[e.p + 1] END, ' ' ORDER BY e.p), '') AS kept FROM e LEFT JOIN g ON g.doc_id = e.doc_id AND g.p = e.p GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, k.n_removed, sha256(k.kept) AS kept_sha256 FROM d JOIN k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the operators that SQL can express; the others learn, iterate or use a tokenizer or hash that it lacks, and are tested by brute force."""
+    return {"op6_substring": OP6_SQL}
