@@ -48,7 +48,7 @@ def rule_column(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst, n: absolute links between different hosts."""
-    links = F.regexp_extract_all(F.col("html"), F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""), 1)
+    links = F.regexp_extract_all(F.col("html"), F.lit(r"""(?is)<a\s[^>]*?href\s*=[\s"']*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""), 1)
     out = pages.select("host", F.explode(links).alias("link")).select(F.col("host").alias("src"), F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), F.col("link"))).otherwise(F.col("link")).alias("link"))
     return out.select("src", host_column("link").alias("dst")).where("src <> dst and dst <> '' and src <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
