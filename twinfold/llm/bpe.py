@@ -21,14 +21,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import make_room, slices
 
 _WS = r"\t-\r \x85\xa0  -     　"
 _SPLIT = regex.compile(rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Two white space characters in a row, or white space outside ASCII: such a text is cut by the pattern as a whole.
 _RUNS = regex.compile(rb"[\t-\r ]{2}|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: Entries of a worker's cache of pieces before it is emptied.
-CACHE = 400_000
+#: Entries of a worker's cache of pieces, beyond those of the texts at hand.
+CACHE = 250_000
 #: A comma or full stop between a letter and white space is a token of its own; a mark that UTF-8 can't hold is put before it, so that it is cut off there.
 _POINT = re.compile(rb"([,.])(?:(?<=[a-zA-Z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \n])")
 _MARK = b" \xff"
@@ -126,8 +126,6 @@ class PairIndexBPE:
         cuts = [[m.encode() for m in _SPLIT.findall(p.removeprefix(_MARK).decode())] for p in parts]
         known = {w: i for i, w in enumerate(dict.fromkeys(w for c in cuts for w in c))}
         ids = self.merge(list(known))
-        if len(self.cache) + len(parts) > CACHE:
-            self.cache.clear()
         for p, c in zip(parts, cuts, strict=True):
             own = [x for w in c for x in ids[known[w]]]
             self.cache[p] = (len(own), ",".join(map(str, own)), b"".join([self.bytes_of[x] for x in own]))
@@ -156,18 +154,12 @@ class PairIndexBPE:
             else:
                 own = self.parts(data)
             cut.append(own)
-        for s, i in self.added.items():
-            self.cache[s] = (1, str(i), self.bytes_of[i])  # keyed by str: never equal to a part
         cache = self.cache
-        missing = set().union(*(set(own).difference(cache) for own in cut))
+        missing = {p for p in make_room(cache, set().union(*map(set, cut)), CACHE) if isinstance(p, bytes)}
         if missing:
-            if len(cache) + len(missing) > CACHE:
-                missing = {p for own in cut for p in own}
-                cache.clear()
-                missing = {p for p in missing if isinstance(p, bytes)}
             self.learn(missing)
-            for s, i in self.added.items():
-                cache[s] = (1, str(i), self.bytes_of[i])
+        for s, i in self.added.items():
+            cache[s] = (1, str(i), self.bytes_of[i])  # keyed by str: never equal to a part
         out = []
         for own in cut:
             got = [cache[p] for p in own]

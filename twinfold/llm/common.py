@@ -90,6 +90,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             start = stop
 
 
+def make_room(cache: dict, wanted: set, most: int) -> set:
+    """What of wanted the cache lacks. If that would not fit, all entries but the wanted ones go first, so frequent entries stay."""
+    missing = wanted.difference(cache)
+    if len(cache) + len(missing) > most:
+        kept = {k: cache[k] for k in wanted if k in cache}
+        cache.clear()
+        cache.update(kept)
+    return missing
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and the offsets (one more than rows) of its values in them."""
     column = column.cast(pa.large_binary())

@@ -27,10 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices
+from .common import crc_mod, make_room, slices
 
 DOCS_PER_LANG, MOST_LANGS, SEQUENCES, STRETCH = 300, 64, 6, 24
-BUCKETS, STEPS, BLOCK, CACHE = 1 << 15, 40, 64, 300_000
+BUCKETS, STEPS, BLOCK, CACHE = 1 << 15, 40, 64, 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -187,10 +187,15 @@ class CRF:
         cache = self.__dict__.setdefault("seen", {})
         known = self.__dict__.setdefault("table", np.zeros((0, len(self.labels))))
         parts = [t.split() for t in texts]
-        new = set().union(*(set(p).difference(cache) for p in parts))
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            known, new = known[:0], set().union(*map(set, parts))
+        wanted = set().union(*map(set, parts))
+        full = len(cache)
+        new = make_room(cache, wanted, CACHE)
+        if len(cache) < full:  # rows of words that went go too
+            rows = sorted({x for v in cache.values() for x in v})
+            place = dict(zip(rows, range(len(rows)), strict=True))
+            for p, v in cache.items():
+                cache[p] = tuple(place[x] for x in v)
+            known = known[rows]
         fresh: dict[str, int] = {}
         for p in new:
             cache[p] = tuple(fresh.setdefault(w, len(known) + len(fresh)) for w in words_of(p.decode("utf-8", "replace")))

@@ -29,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import make_room, slices, written
 
 WINDOW = 4096
 END_ID = 2
 MAX_QUEUES = 256
 SCALE = 1 << 20
-#: Entries of a worker's cache of words before it is emptied.
-CACHE = 600_000
+#: Entries of a worker's cache of words, beyond those of the texts at hand.
+CACHE = 300_000
 #: A comma or full stop between a letter and white space is a token of its own.
 _POINT = re.compile(rb"([,.])(?:(?<=[a-zA-Z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \n])")
 #: Rows of the offset table (one per partition and queue) up to which it is broadcast; it is joined by shuffle beyond.
@@ -90,10 +90,7 @@ def encode_words(texts: list[bytes], path: str) -> tuple[list[bytes], type]:
     """Ids of every text as packed little-endian integers. White space always ends a word of this vocabulary, so words are encoded once and cached; a text that spells an added token goes to the library whole."""
     t, added, cache, kind = _tokenizer(path)
     cut = [None if any(a in x for a in added) else _POINT.sub(rb" \1", x).split() for x in texts]
-    missing = set().union(*(set(c).difference(cache) for c in cut if c))
-    if len(cache) + len(missing) > CACHE:
-        cache.clear()
-        missing = {w for c in cut if c for w in c}
+    missing = make_room(cache, set().union(*(set(c) for c in cut if c)), CACHE)
     if missing:
         cache.update(zip(missing, _encode_each(list(missing), path), strict=True))
     get = cache.__getitem__

@@ -27,10 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices
+from .common import SLICE_BYTES, crc_mod, make_room, slices
 
 MOST_TOXIC, MOST_CLEAN, MOST_TERMS = 2000, 4000, 4000
-NEIGHBOURS, BLOCK, CACHE = 16, 64, 400_000
+NEIGHBOURS, BLOCK, CACHE = 16, 64, 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -194,17 +194,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 
 def _scores(model: ToxicityModel, texts: list[bytes]) -> list[tuple[float, list[int], list[float]]]:
-    cache = model.__dict__.setdefault("seen", {})
-    out = []
-    for data in texts:
-        parts = data.split()
-        new = set(parts).difference(cache)
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = set(parts)
-        for p in new:
+    """Scores of texts, a few megabytes at a time."""
+    cache, out, at = model.__dict__.setdefault("seen", {}), [], 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= SLICE_BYTES):
+            size += len(texts[stop])
+            stop += 1
+        parts = [t.split() for t in texts[at:stop]]
+        for p in make_room(cache, set().union(*map(set, parts)), CACHE):
             cache[p] = model.chunk(p.decode("utf-8", "replace"))
-        out.append(model.score([t for v in map(cache.__getitem__, parts) if v for t in v]))
+        get = cache.__getitem__
+        out += [model.score([t for v in map(get, own) if v for t in v]) for own in parts]
+        at = stop
     return out
 
 
