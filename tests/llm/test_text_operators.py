@@ -155,6 +155,46 @@ def test_fingerprints_and_groups(spark, docs, texts):
     assert simhash.near_duplicates(both.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("crowd", "recall"), [(simhash.CROWD, 0.97), (0, 0.85)])
+def test_near_copies_against_brute_force(spark, docs, monkeypatch, crowd, recall):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(5)
+    base = [" ".join(f"w{int(rng.paretovariate(0.7)) % 5000}" for _ in range(rng.choice((30, 120, 700)))) for _ in range(40)]
+    rows = [(10**7 + k, t) for k, t in enumerate(base)]
+    for k in range(120):
+        own = rng.choice(base).split()
+        for _ in range(rng.randrange(1 + len(own) // 45)):
+            own[rng.randrange(len(own))] = f"new{rng.random()}"
+        rows.append((2 * 10**7 + k, " ".join(own)))
+    both = docs.select("doc_id", "text", "t", "fp").unionByName(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, t int, fp string"))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(both).collect()}
+    texts = {}
+    for r in both.collect():
+        w = (r.text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        w = WORD.findall(w)
+        texts[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            n = len(texts[a] & texts[b])
+            if n and n >= 0.8 * (len(texts[a]) + len(texts[b]) - n):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in ids}
+    assert got.keys() == want.keys()
+    assert all(want[i] == want[c] for i, c in got.items())  # no link between texts that aren't similar
+    linked = [i for i in ids if want[i] != i]
+    assert len(linked) > 60 and sum(got[i] != i for i in linked) >= recall * len(linked)
+    assert simhash.near_copies(both.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("threshold", [0, 1, 2])
 @pytest.mark.parametrize("hot", [simhash.HOT, 0])
 def test_covering_loses_no_link(spark, threshold, hot):
