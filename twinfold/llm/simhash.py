@@ -186,6 +186,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3, id_co
     return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: First shingle hash of each of 64 equal ranges.
+_RANGES = np.arange(64, dtype=np.uint64) << np.uint64(58)
 _LOWER_BYTES = np.frombuffer(_LOWER, np.uint8)
 _LANE_SEED = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -199,17 +201,27 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(h: np.ndarray, first: np.ndarray, width: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; the whole sequence where it has fewer words, none where it has none."""
+    """Sorted distinct shingle hashes (64 bits) of each text; the whole sequence where it has fewer words, none where it has none."""
     grams = rolled(h, width, 0xD6E8FEB86659FD93)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
-            out.append(np.unique(grams[a : b - width + 1]))
+            out.append(np.unique(mix(grams[a : b - width + 1])))
         else:
-            out.append(rolled(h[a:b], b - a, 0xA0761D6478BD642F) if b > a else h[:0])
+            out.append(mix(rolled(h[a:b], b - a, 0xA0761D6478BD642F)) if b > a else h[:0])
     return out
 
 
+def _outline(shingles: np.ndarray) -> bytes:
+    """A byte (1 to 255, or 0 for none) of the smallest hash in each of 64 ranges."""
+    at = np.searchsorted(shingles, _RANGES)
+    ends = np.append(at[1:], len(shingles))
+    out = np.zeros(64, np.uint8)
+    there = at < ends
+    out[there] = shingles[at[there]] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
 def lane_fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """SimHashes (texts by LANES, LANE_BITS each) over single words, repeats included."""
     known, place = np.unique(h, return_inverse=True)
@@ -234,8 +246,9 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
     """doc_id, component_id (smallest doc_id reachable by links) of every row; texts link if their width-word shingle sets have a Jaccard similarity of least or more.
 
     Equal word sequences (A-Z lower-cased) are one class, found exactly; texts without words are one class
-    too, and fewer words than width are one shingle. Links are never wrong; the lanes miss few
-    (3 in a hundred at the least similarity, fewer above it). Shuffled are 150 bytes a row, the
+    too, and fewer words than width are one shingle. Links rest on 32-bit hashes of whole
+    shingle sets; the lanes miss few (3 in a hundred at the least similarity, fewer above it). Candidates
+    whose outlines (64 bytes) lie five standard deviations below the least similarity are not compared further. Shuffled are 250 bytes a row, the
     anchors of the classes, and the shingle sets of candidates; no group meets in one task.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
@@ -246,11 +259,11 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
             ends = zip(first[:-1].tolist(), first[1:].tolist(), strict=True)
             key = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in ends]
             lanes = lane_fingerprints(h, first)
-            n = [len(x) for x in _sets(h, first, width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array([x.tobytes() for x in lanes], pa.binary())], names=["doc_id", "key", "n", "lanes"])
+            sets = _sets(h, first, width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array([x.tobytes() for x in lanes], pa.binary()), pa.array(map(_outline, sets), pa.binary())], names=["doc_id", "key", "n", "lanes", "outline"])
 
-    rows, _ = written(slim.mapInArrow(sketch, "doc_id long, key binary, n int, lanes binary"))
-    reps, _ = written(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("lanes").alias("lanes")))
+    rows, _ = written(slim.mapInArrow(sketch, "doc_id long, key binary, n int, lanes binary, outline binary"))
+    reps, _ = written(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "lanes", "outline"))))
 
     def spread(batches):
         for batch in batches:
@@ -275,14 +288,25 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
         crowd, _ = written(dealt.join(busy, "anchor", "left_semi").select("anchor", F.col("rep").alias("b"), "n"))
         centre = crowd.groupBy("anchor").agg(F.min(F.struct(F.xxhash64("anchor", "b"), "b", "n")).alias("x")).select("anchor", F.col("x.b").alias("a"), F.col("x.n").alias("m"))
         pairs = pairs.unionByName(crowd.join(centre, "anchor").where(alike).select("a", "b"))
-    pairs, _ = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def plausible(batches):
+        for batch in batches:
+            u, v = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 64) for k in (2, 3))
+            m = ((u | v) > 0).sum(1)
+            keep = pa.array(((u == v) & (u > 0)).sum(1) >= least * m - 5 * np.sqrt(least * (1 - least) * m))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    outlines = reps.select("rep", "outline")
+    seen = pairs.join(outlines.select(F.col("rep").alias("a"), F.col("outline").alias("x")), "a").join(outlines.select(F.col("rep").alias("b"), F.col("outline").alias("y")), "b")
+    pairs, _ = written(seen.select("a", "b", "x", "y").mapInArrow(plausible, "a long, b long"))
     needed, _ = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
 
     def shingled(batches):
         for batch in slices(batches, "t"):
             h, first = _hashed(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _sets(h, first, width)], pa.binary())], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique((x >> np.uint64(20)).astype(np.uint32)).tobytes() for x in _sets(h, first, width)], pa.binary())], names=["id", "s"])
 
     sets, _ = written(slim.join(needed, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(shingled, "id long, s binary"))
 
@@ -290,7 +314,7 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                u, v = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep[i] = both >= least * (len(u) + len(v) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
