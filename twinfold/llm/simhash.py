@@ -16,8 +16,9 @@ near_copies() finds texts whose sets of five-word shingles are similar (0.8 or m
 fingerprints over shingles differ in far more bits than any covering code can span, so it takes
 LANES fingerprints of 46 bits (both codes, nothing free) over single words, which an edit moves
 least; texts that meet at an anchor with one bit or none between them in any lane are candidates, and each
-candidate pair is verified on the shingles themselves. An anchor of more than CROWD
-comparisons compares its members with one centre, drawn anew by every lane and anchor.
+candidate pair is verified on the shingles themselves. In anchors of more than STAR comparisons the
+members first meet one centre, drawn anew by every lane and anchor; what is not connected after
+that is compared pair by pair, but for anchors of more than CROWD comparisons.
 
 * Cases: null or wordless text has fingerprint zero and links like any other; fewer words
   than a shingle give one shingle of the whole sequence; repeated rows link to each other.
@@ -37,6 +38,8 @@ from .common import components, mix, raw, rolled, slices, word_hashes, words, wr
 HOT = 250_000
 #: near_copies(): fingerprints a text, bits of each, and comparisons of an anchor beyond which its members meet one centre.
 LANES, LANE_BITS, CROWD = 16, 46, 2500
+#: Comparisons beyond which an anchor's members first meet its centre; pairs that this connects aren't compared again.
+STAR = 64
 #: Distinct words whose bits lane_fingerprints() holds at a time.
 WORDS = 1 << 16
 #: Ids of candidates up to which they are broadcast; they are joined by shuffle beyond.
@@ -277,18 +280,10 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
                     yield pa.RecordBatch.from_arrays([pa.array(anchor | (lane << LANE_BITS)), pa.array(own[who]), some.column(0).take(at), some.column(1).take(at), pa.array(home)], names=["anchor", "fp", "rep", "n", "home"])
 
     dealt, _ = written(reps.select("rep", "n", "lanes").where("n > 0").mapInArrow(spread, "anchor long, fp long, rep long, n int, home boolean"))
-    sizes = dealt.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("h"), F.count(F.lit(1)).alias("c"))
-    busy, _ = written(sizes.where((F.col("h") > 0) & (F.col("c") > 1) & (F.col("h") * F.col("c") > CROWD)).select("anchor"))
-    crowded = busy.limit(1).count() > 0
-    cool = dealt.join(busy, "anchor", "left_anti") if crowded else dealt
+    sizes = dealt.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("h"), F.count(F.lit(1)).alias("c")).where("h > 0 and c > 1").withColumn("work", F.col("h") * F.col("c"))
+    many, _ = written(sizes.where(F.col("work") > STAR).select("anchor", "work"))
     alike = F.expr(f"a <> b and least(n, m) >= {least} * greatest(n, m)")
-    one, two = cool.where("home").select("anchor", F.col("fp").alias("f"), F.col("rep").alias("a"), F.col("n").alias("m")), cool.select(F.col("anchor").alias("there"), F.col("fp").alias("g"), F.col("rep").alias("b"), "n", "home")
-    pairs = one.join(two, (F.col("anchor") == F.col("there")) & F.expr("bit_count(f ^ g) <= 1 and (not home or a < b)") & alike).select("a", "b")
-    if crowded:
-        crowd, _ = written(dealt.join(busy, "anchor", "left_semi").select("anchor", F.col("rep").alias("b"), "n"))
-        centre = crowd.groupBy("anchor").agg(F.min(F.struct(F.xxhash64("anchor", "b"), "b", "n")).alias("x")).select("anchor", F.col("x.b").alias("a"), F.col("x.n").alias("m"))
-        pairs = pairs.unionByName(crowd.join(centre, "anchor").where(alike).select("a", "b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    in_order = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def plausible(batches):
         for batch in batches:
@@ -297,19 +292,11 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
             keep = pa.array(((u == v) & (u > 0)).sum(1) >= least * m - 5 * np.sqrt(least * (1 - least) * m))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    outlines = reps.select("rep", "outline")
-    seen = pairs.join(outlines.select(F.col("rep").alias("a"), F.col("outline").alias("x")), "a").join(outlines.select(F.col("rep").alias("b"), F.col("outline").alias("y")), "b")
-    pairs, _ = written(seen.select("a", "b", "x", "y").mapInArrow(plausible, "a long, b long"))
-    needed, _ = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-
     def shingled(batches):
         for batch in slices(batches, "t"):
             h, first = _hashed(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique((x >> np.uint64(20)).astype(np.uint32)).tobytes() for x in _sets(h, first, width)], pa.binary())], names=["id", "s"])
 
-    sets, _ = written(slim.join(needed, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(shingled, "id long, s binary"))
-
     def verify(batches):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
@@ -319,7 +306,27 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
                 keep[i] = both >= least * (len(u) + len(v) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    joined = components(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    def verified(pairs: DataFrame, outlines: DataFrame) -> DataFrame:
+        """Of the candidate pairs (a, b) whose classes (rep, outline, label) aren't connected yet, those that link."""
+        one, two = (outlines.select(F.col("rep").alias(x), F.col("outline").alias(f"{x}_outline"), F.col("label").alias(f"{x}_label")) for x in ("a", "b"))
+        open_ = pairs.join(one, "a").join(two, "b").where("a_label <> b_label").select("a", "b", "a_outline", "b_outline")
+        likely, _ = written(open_.mapInArrow(plausible, "a long, b long"))
+        needed, _ = written(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+        sets, _ = written(slim.join(needed, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(shingled, "id long, s binary"))
+        both = likely.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+        return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))[0]
+
+    links_, outlines, cool = None, reps.select("rep", "outline", F.col("rep").alias("label")), dealt
+    if many.limit(1).count():  # first every larger anchor's members with its centre
+        crowd, _ = written(dealt.join(many.select("anchor"), "anchor", "left_semi").select("anchor", F.col("rep").alias("b"), "n"))
+        centre = crowd.groupBy("anchor").agg(F.min(F.struct(F.xxhash64("anchor", "b"), "b", "n")).alias("x")).select("anchor", F.col("x.b").alias("a"), F.col("x.n").alias("m"))
+        links_ = verified(crowd.join(centre, "anchor").where(alike).select(*in_order).distinct(), outlines)
+        outlines, _ = written(outlines.drop("label").join(components(links_), F.col("rep") == F.col("node"), "left").select("rep", "outline", F.coalesce("component", "rep").alias("label")))
+        cool = dealt.join(many.where(F.col("work") > CROWD).select("anchor"), "anchor", "left_anti")
+    one, two = cool.where("home").select("anchor", F.col("fp").alias("f"), F.col("rep").alias("a"), F.col("n").alias("m")), cool.select(F.col("anchor").alias("there"), F.col("fp").alias("g"), F.col("rep").alias("b"), "n", "home")
+    pairs = one.join(two, (F.col("anchor") == F.col("there")) & F.expr("bit_count(f ^ g) <= 1 and (not home or a < b)") & alike).select(*in_order).distinct()
+    rest = verified(pairs, outlines)
+    joined = components(rest if links_ is None else links_.unionByName(rest))
     label = reps.select("key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", "key").join(label, "key").select("doc_id", "component_id")
