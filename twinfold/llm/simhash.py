@@ -18,7 +18,8 @@ LANES fingerprints of 46 bits (both codes, nothing free) over single words, whic
 least; texts that meet at an anchor with one bit or none between them in any lane are candidates, and each
 candidate pair is verified on the shingles themselves. In anchors of more than STAR comparisons the
 members first meet one centre, drawn anew by every lane and anchor; what is not connected after
-that is compared pair by pair, but for anchors of more than CROWD comparisons.
+that is compared pair by pair, in anchors of more than CROWD comparisons by the members outside
+the anchor's largest connected part with all others.
 
 * Cases: null or wordless text has fingerprint zero and links like any other; fewer words
   than a shingle give one shingle of the whole sequence; repeated rows link to each other.
@@ -324,8 +325,22 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
         links_ = verified(crowd.join(centre, "anchor").where(alike).select(*in_order).distinct(), outlines)
         outlines, _ = written(outlines.drop("label").join(components(links_), F.col("rep") == F.col("node"), "left").select("rep", "outline", F.coalesce("component", "rep").alias("label")))
         cool = dealt.join(many.where(F.col("work") > CROWD).select("anchor"), "anchor", "left_anti")
-    one, two = cool.where("home").select("anchor", F.col("fp").alias("f"), F.col("rep").alias("a"), F.col("n").alias("m")), cool.select(F.col("anchor").alias("there"), F.col("fp").alias("g"), F.col("rep").alias("b"), "n", "home")
-    pairs = one.join(two, (F.col("anchor") == F.col("there")) & F.expr("bit_count(f ^ g) <= 1 and (not home or a < b)") & alike).select(*in_order).distinct()
+
+    def one(d: DataFrame, *more) -> DataFrame:
+        return d.select("anchor", F.col("fp").alias("f"), F.col("rep").alias("a"), F.col("n").alias("m"), "home", *more)
+
+    def two(d: DataFrame, *more) -> DataFrame:
+        return d.select(F.col("anchor").alias("there"), F.col("fp").alias("g"), F.col("rep").alias("b"), "n", F.col("home").alias("at_home"), *more)
+
+    meet = (F.col("anchor") == F.col("there")) & F.expr("bit_count(f ^ g) <= 1") & alike
+    pairs = one(cool.where("home")).join(two(cool), meet & F.expr("not at_home or a < b")).select(*in_order)
+    if cool is not dealt:  # of the others, all pairs that aren't connected yet: one of each is outside its anchor's largest connected part
+        labelled = dealt.join(many.where(F.col("work") > CROWD).select("anchor"), "anchor", "left_semi").join(outlines.select("rep", "label"), "rep")
+        parts = labelled.groupBy("anchor", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("anchor").agg(F.max(F.struct("c", "label")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor", F.col("x.label").alias("most"))
+        crowd, _ = written(labelled.join(parts, "anchor").withColumn("out", F.col("label") != F.col("most")))
+        open_ = meet & F.expr("(home or at_home) and label <> other and (not out_there or a < b)")
+        pairs = pairs.unionByName(one(crowd.where("out"), "label").join(two(crowd, F.col("label").alias("other"), F.col("out").alias("out_there")), open_).select(*in_order))
+    pairs = pairs.distinct()
     rest = verified(pairs, outlines)
     joined = components(rest if links_ is None else links_.unionByName(rest))
     label = reps.select("key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
