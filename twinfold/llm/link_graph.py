@@ -9,7 +9,9 @@ exceeds its share of trust is blocked.
   host), aggregated before anything is joined, so a hot host leaves one row an edge.
 * A page without links keeps no mass: it returns to the seeds, which by linearity is a
   division by the total at the end.
-* Every round is a written table; rounds end when less than TOLERANCE of mass still moves, ROUNDS at most.
+* Every round is a written table; rounds end when no host is new and none gained more than TOLERANCE of
+  its own share, so neither the size of the seeds nor the depth of the graph decides. Shares within TIE of
+  each other are ties.
 * Cases: null or ``://``-less urls have empty host and path, fit no rule and are allowed;
   null html has no links; without seeds all shares are 0 and the verdict is allow; ties
   are allowed; repeated rows count as often as they occur.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-4
+DAMPING, TOLERANCE, TIE = 0.85, 1e-12, 1e-9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,23 +55,20 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return out.select("src", host_column("link").alias("dst")).where("src <> dst and dst <> '' and src <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """host, share: personalised PageRank of seeds (host, w) over edges (src, dst, n), shares summing to 1."""
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     odds, _ = written(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("p")))
     total = seeds.agg(F.sum("w")).first()[0]
     if not total:
         return seeds.select("host", F.lit(0.0).alias("share"))
-    rank, _ = written(seeds.select("host", (F.col("w") / total * (1 - damping)).alias("r")))
-    moving, path = rank, None  # what arrived in the last round
-    for _ in range(rounds):
-        moved = moving.join(odds, moving.host == odds.src).groupBy("dst").agg((F.sum(F.col("r") * F.col("p")) * damping).alias("r")).select(F.col("dst").alias("host"), "r")
-        moving, path = written(moved)
-        left = moving.agg(F.sum("r")).first()[0]
-        if not left:
-            break
-        rank, _ = written(rank.unionByName(moving).groupBy("host").agg(F.sum("r").alias("r")))
-        if left < TOLERANCE:
+    rank, path = written(seeds.select("host", (F.col("w") / total * (1 - damping)).alias("r"), (F.col("w") / total * (1 - damping)).alias("m")))  # m: what arrived in the last round
+    done = 0
+    while rounds is None or done < rounds:
+        moved = rank.where("m > 0").join(odds, F.col("host") == odds.src).groupBy("dst").agg((F.sum(F.col("m") * F.col("p")) * damping).alias("m")).select(F.col("dst").alias("host"), F.col("m").alias("r"), "m")
+        rank, path = written(rank.select("host", "r", F.lit(0.0).alias("m")).unionByName(moved).groupBy("host").agg(F.sum("r").alias("r"), F.sum("m").alias("m")), path)
+        done += 1
+        if (rank.agg(F.max(F.col("m") / F.col("r"))).first()[0] or 0) <= TOLERANCE:  # 1 where a host is new
             break
     total = rank.agg(F.sum("r")).first()[0]
     return rank.select("host", (F.col("r") / total).alias("share"))
@@ -88,5 +87,5 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     hosts = held.select("host").join(trust.withColumnRenamed("share", "trust"), "host", "left").join(distrust.withColumnRenamed("share", "distrust"), "host", "left").na.fill(0.0)
     hosts, _ = written(hosts.select(F.col("host").alias("h"), "trust", "distrust"))
     listed = F.create_map(*[x for r, v in rules.items() for x in (F.lit(r), F.lit(v))])
-    verdict = F.coalesce(listed[F.col("rule")], F.when(F.col("distrust") > F.col("trust"), "block").otherwise("allow"))
+    verdict = F.coalesce(listed[F.col("rule")], F.when(F.col("distrust") > F.col("trust") * (1 + TIE), "block").otherwise("allow"))
     return ruled.drop("html").join(hosts, F.col("host") == F.col("h"), "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
