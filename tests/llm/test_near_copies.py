@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from twinfold.llm import simhash
 
 
@@ -17,3 +18,31 @@ def test_crowded_anchors_lose_no_pair(spark, monkeypatch):
         rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[:57] + [own[58], own[57], own[59]]))]
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
+def test_appended_cut_and_short_copies(spark):
+    rng = random.Random(4)
+    bag = [f"w{k}" for k in range(3000)]
+    rows = []
+    for k in range(120):
+        n = (60, 200, 600, 16, 25, 40)[k % 6]
+        a = [rng.choice(bag[:400]) for _ in range(n)]
+        b = a[:-1] + ["other"] if n < 60 else a + rng.choices(bag[400:], k=n // 5 - 1) if k % 12 < 6 else a[: n - n // 6]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    assert all(len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(0, 240, 2))
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
+def test_bands_depend_on_similarity_alone():
+    rng = np.random.default_rng(1)
+    for n in (9, 90, 900):
+        same, sets = n * 8 // 9, []
+        for _ in range(300):
+            x = rng.integers(0, 1 << 63, 2 * n - same, dtype=np.uint64)
+            sets += [x[:n], np.concatenate([x[:same], x[n:]])]
+        keys = simhash.band_keys(sets)
+        equal = (keys[::2] == keys[1::2]).mean()
+        j = same / (2 * n - same)
+        assert abs(equal - j**simhash.BAND_ROWS) < 0.03 and (keys[::2] == keys[1::2]).any(1).all()

@@ -15,8 +15,9 @@ either one, and pairs are compared at the smaller home only.
 near_copies() finds texts whose sets of five-word shingles are similar (0.8 or more). Their
 fingerprints over shingles differ in far more bits than any covering code can span, so it takes
 LANES fingerprints of 46 bits (both codes, nothing free) over single words, which an edit moves
-least; texts that meet at an anchor with one bit or none between them in any lane are candidates, and each
-candidate pair is verified on the shingles themselves. In anchors of more than STAR comparisons the
+least; texts that meet at an anchor with one bit or none between them in any lane are candidates, as are those that
+share a min-hash band of their shingle sets (lanes favour scattered edits, bands depend on the similarity
+alone), and each candidate pair is verified on the shingles themselves. In anchors of more than STAR comparisons the
 members first meet one centre, drawn anew by every lane and anchor; what is not connected after
 that is compared pair by pair, in anchors of more than CROWD comparisons by the members outside
 the anchor's largest connected part with all others.
@@ -39,6 +40,8 @@ from .common import components, mix, raw, rolled, slices, word_hashes, words, wr
 HOT = 250_000
 #: near_copies(): fingerprints a text, bits of each, and comparisons of an anchor beyond which its members meet one centre.
 LANES, LANE_BITS, CROWD = 16, 46, 2500
+#: near_copies(): min-hash bands beside the lanes, and shingle minima that a band takes; at similarity 0.8, 3 pairs in a million share no band.
+BANDS, BAND_ROWS = 32, 5
 #: Comparisons beyond which an anchor's members first meet its centre; pairs that this connects aren't compared again.
 STAR = 64
 #: Distinct words whose bits lane_fingerprints() holds at a time.
@@ -226,6 +229,26 @@ def _outline(shingles: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+_BAND_SEED = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """Keys (texts by BANDS, LANE_BITS each) of minima of shingle sets; two sets share a key with probability J ** BAND_ROWS. Zero for an empty set."""
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    there = np.flatnonzero([len(x) for x in sets])
+    if not len(there) or not BANDS:
+        return out.view(np.int64)
+    x = (np.concatenate([sets[i] for i in there]) >> np.uint64(16)).astype(np.uint32)
+    starts = np.cumsum([0, *(len(sets[i]) for i in there[:-1])])
+    for band in range(BANDS):
+        key = np.zeros(len(there), np.uint64)
+        for seed in _BAND_SEED[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
+            low = np.minimum.reduceat((x ^ np.uint32(seed >> np.uint64(32))) * (np.uint32(seed & np.uint64(0xFFFFFFFF)) | np.uint32(1)), starts)
+            key = mix(key ^ low.astype(np.uint64))
+        out[there, band] = key >> np.uint64(64 - LANE_BITS)
+    return out.view(np.int64)
+
+
 def lane_fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """SimHashes (texts by LANES, LANE_BITS each) over single words, repeats included."""
     known, place = np.unique(h, return_inverse=True)
@@ -251,8 +274,8 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
 
     Equal word sequences (A-Z lower-cased) are one class, found exactly; texts without words are one class
     too, and fewer words than width are one shingle. Links rest on 32-bit hashes of whole
-    shingle sets; the lanes miss few (3 in a hundred at the least similarity, fewer above it). Candidates
-    whose outlines (64 bytes) lie five standard deviations below the least similarity are not compared further. Shuffled are 250 bytes a row, the
+    shingle sets; at the least similarity 3 pairs in a million share none of the bands, however the texts differ. Candidates
+    whose outlines (64 bytes) lie five standard deviations below the least similarity are not compared further. Shuffled are 510 bytes a row, the
     anchors of the classes, and the shingle sets of candidates; no group meets in one task.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
@@ -264,10 +287,10 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
             key = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in ends]
             lanes = lane_fingerprints(h, first)
             sets = _sets(h, first, width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array([x.tobytes() for x in lanes], pa.binary()), pa.array(map(_outline, sets), pa.binary())], names=["doc_id", "key", "n", "lanes", "outline"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array([x.tobytes() for x in lanes], pa.binary()), pa.array(map(_outline, sets), pa.binary()), pa.array([x.tobytes() for x in band_keys(sets)], pa.binary())], names=["doc_id", "key", "n", "lanes", "outline", "bands"])
 
-    rows, _ = written(slim.mapInArrow(sketch, "doc_id long, key binary, n int, lanes binary, outline binary"))
-    reps, _ = written(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "lanes", "outline"))))
+    rows, _ = written(slim.mapInArrow(sketch, "doc_id long, key binary, n int, lanes binary, outline binary, bands binary"))
+    reps, _ = written(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "lanes", "outline", "bands"))))
 
     def spread(batches):
         for batch in batches:
@@ -279,8 +302,11 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
                     who, anchor, home = anchors(own, 1)
                     at = pa.array(who)
                     yield pa.RecordBatch.from_arrays([pa.array(anchor | (lane << LANE_BITS)), pa.array(own[who]), some.column(0).take(at), some.column(1).take(at), pa.array(home)], names=["anchor", "fp", "rep", "n", "home"])
+                bands = np.frombuffer(b"".join(some.column(3).to_pylist()), np.int64).reshape(some.num_rows, -1)
+                for band in range(bands.shape[1]):  # as further lanes, whose members are all at home and equal
+                    yield pa.RecordBatch.from_arrays([pa.array(bands[:, band] | ((LANES + band) << LANE_BITS)), pa.array(np.zeros(some.num_rows, np.int64)), some.column(0), some.column(1), pa.array(np.ones(some.num_rows, bool))], names=["anchor", "fp", "rep", "n", "home"])
 
-    dealt, _ = written(reps.select("rep", "n", "lanes").where("n > 0").mapInArrow(spread, "anchor long, fp long, rep long, n int, home boolean"))
+    dealt, _ = written(reps.select("rep", "n", "lanes", "bands").where("n > 0").mapInArrow(spread, "anchor long, fp long, rep long, n int, home boolean"))
     sizes = dealt.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("h"), F.count(F.lit(1)).alias("c")).where("h > 0 and c > 1").withColumn("work", F.col("h") * F.col("c"))
     many, _ = written(sizes.where(F.col("work") > STAR).select("anchor", "work"))
     alike = F.expr(f"a <> b and least(n, m) >= {least} * greatest(n, m)")
