@@ -125,6 +125,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_LETTER_AFTER_C3 = np.zeros(256, dtype=bool)
+_LETTER_AFTER_C3[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+
+
+def points(data: np.ndarray) -> np.ndarray:
+    """Places of commas and full stops between a letter (ASCII or Latin-1) and a blank or line feed."""
+    at = np.flatnonzero((data == 0x2C) | (data == 0x2E))
+    at = at[(at > 0) & (at < len(data) - 1)]
+    at = at[(data[at + 1] == 0x20) | (data[at + 1] == 0x0A)]
+    return at[_LETTER[data[at - 1]] | _LETTER_AFTER_C3[data[at - 1]] & (at > 1) & (data[at - 2] == 0xC3)]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finaliser on unsigned 64-bit values."""
     x = x ^ (x >> np.uint64(30))
