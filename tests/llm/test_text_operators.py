@@ -332,3 +332,54 @@ def test_components(spark, part):
             changed |= root[a] != low or root[b] != low
             root[a] = root[b] = low
     assert got == root and common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_layout_is_a_literal_deficit_round_robin():
+    """Window by window, queue by queue, with carried deficits, as the method is written down."""
+    from fractions import Fraction
+
+    totals, targets, window = [90_000, 60_000, 31_000, 20_000], [0.43, 0.31, 0.16, 0.1], 512
+    plan = packing.phases(totals, targets, window)
+    layout = packing.Layout(plan, window)
+    served = {}
+    for q, n in enumerate(totals):
+        cuts, seqs, _ = layout.pieces(q, 0, n)
+        for k, size in zip(seqs.tolist(), np.diff(np.append(cuts, n)).tolist(), strict=True):
+            served[k, q] = served.get((k, q), 0) + size
+    windows = 0
+    for first, n, _, cum in plan:
+        if n == 1:
+            continue
+        quantum = [Fraction(b - a, packing.SCALE) * window for a, b in zip([0, *cum[:-1]], cum, strict=True)]
+        deficit = [Fraction(0)] * len(totals)
+        for k in range(first, first + n):
+            carried = Fraction(0)  # what rounding of the queues before leaves over in this round
+            for q, share in enumerate(quantum):
+                due = deficit[q] + share + carried
+                take = due.numerator // due.denominator
+                assert served.get((k, q), 0) == take, (k, q)
+                deficit[q], carried = due - take - carried, due - take  # what its share is ahead of what it has got
+            windows += 1
+            assert sum(served.get((k, q), 0) for q in range(len(totals))) == window
+    assert windows > 200
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_many_sources_keep_their_shares(spark, few):
+    """300 equal sources, with and without stated targets: each has its share after every window, to the token."""
+    rows = [(k, "a b c d e f g " * 60, f"s{k % 300}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    targets = {f"s{k}": 1 / 300 for k in range(300)} if few else None
+    got = packing.pack(docs, queries.vocabulary("word_bpe_49k.json"), targets).join(docs.select("doc_id", "source"), "doc_id").groupBy("sequence_id", "source").agg(F.sum("length").alias("n")).toPandas()
+    assert got.groupby("sequence_id").n.sum().iloc[:-1].eq(4096).all()
+    table = got.pivot(index="sequence_id", columns="source", values="n").fillna(0)
+    full = table.iloc[: int(len(table) * 0.9)]
+    due = (np.arange(len(full)) + 1)[:, None] * 4096 / 300
+    assert table.shape[1] == 300 and (abs(full.cumsum() - due) < 1.1).all().all() and (abs(full - 4096 / 300) < 2).all().all()
+
+
+def test_small_sources_share_a_queue(spark):
+    rows = [(k, "word " * 50, f"s{k}" if k % 3 else None if k % 2 else "big") for k in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = packing.pack(docs, queries.vocabulary("word_bpe_49k.json")).toPandas().sort_values(["sequence_id", "offset"])
+    assert got.groupby("sequence_id").length.sum().iloc[:-1].eq(4096).all() and got.length.sum() == 9000 * 51 and got.doc_id.nunique() == 9000

@@ -125,6 +125,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def distinct_words(column: pa.Array, more=None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of texts: distinct ones (some may repeat), the number of each word's in that list, and the first word (one more than texts) of each text. more(data): further places where words are cut."""
+    data, offsets = raw(column)
+    starts = words(data, offsets)[0]
+    if more is not None:
+        starts = np.sort(np.concatenate([starts, more(data)]))
+    at = np.append(starts, len(data)).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()  # words with the white space behind them
+    return [p.rstrip() for p in pieces.dictionary.to_pylist()], pieces.indices.to_numpy(), np.searchsorted(starts, offsets)
+
+
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _LETTER_AFTER_C3 = np.zeros(256, dtype=bool)

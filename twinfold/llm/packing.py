@@ -10,11 +10,12 @@ turn. When a queue runs dry its last tokens go into one window and the others' s
 in proportion (a new phase, at most two per queue).
 
 * Shares are the corpus's own token proportions unless targets are given.
-* Sources with less than two tokens a window share one queue with other small ones, as do
-  those beyond MAX_QUEUES; each of their tokens is still packed.
+* Sources with less than LEAST tokens a window share one queue, in the order of partitions; each of their
+  tokens is still packed.
 * Cases: null text counts as empty (a document of the end id alone), null source is a
-  queue of its own, repeated rows are packed as often as they occur, an empty table gives
-  no rows, only the last window can be short.
+  queue of its own, repeated rows (and null ids) are packed as often as they occur, ties in a queue go by
+  partition and place in it, a text of any length is cut into pieces, other columns whatever their names are not read, an
+  empty table gives no rows, only the last window can be short.
 """
 
 from __future__ import annotations
@@ -29,16 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import make_room, slices, written
+from .common import distinct_words, make_room, points, raw, slices, written
 
 WINDOW = 4096
 END_ID = 2
-MAX_QUEUES = 256
-SCALE = 1 << 20
+#: Tokens a window below which a source is no queue of its own: less can't be dealt out evenly.
+LEAST = 4
+#: Shares are multiples of 1 / SCALE; window * SCALE ** 2 must fit 63 bits.
+SCALE = 1 << 24
 #: Entries of a worker's cache of words, beyond those of the texts at hand.
-CACHE = 300_000
-#: A comma or full stop between a letter and white space is a token of its own.
-_POINT = re.compile(rb"([,.])(?:(?<=[a-zA-Z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \n])")
+CACHE = 600_000
 #: Rows of the offset table (one per partition and queue) up to which it is broadcast; it is joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
 
@@ -53,6 +54,7 @@ def _tokenizer(path: str):
 
         t = Tokenizer.from_file(path)
         added = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
+        added = re.compile(b"|".join(map(re.escape, added))) if added else None
         _ends[path] = np.zeros(t.get_vocab_size(), bool)
         _ends[path][[i for x, i in t.get_vocab().items() if x.endswith("</w>")]] = True
         _tokenizers[path] = (t, added, {}, np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32)
@@ -86,15 +88,30 @@ def _encode_each(chunks: list[bytes], path: str) -> list[bytes]:
     return out
 
 
-def encode_words(texts: list[bytes], path: str) -> tuple[list[bytes], type]:
-    """Ids of every text as packed little-endian integers. White space always ends a word of this vocabulary, so words are encoded once and cached; a text that spells an added token goes to the library whole."""
+def encode_column(column: pa.Array, path: str, end_id: int | None = None) -> tuple[pa.Array, type]:
+    """Ids of every text as packed little-endian integers, with end_id behind them if given.
+
+    White space always ends a word of this vocabulary, so distinct words are encoded once and cached; a text that
+    spells an added token goes to the library whole.
+    """
     t, added, cache, kind = _tokenizer(path)
-    cut = [None if any(a in x for a in added) else _POINT.sub(rb" \1", x).split() for x in texts]
-    missing = make_room(cache, set().union(*(set(c) for c in cut if c)), CACHE)
+    known, which, first = distinct_words(column, points)
+    missing = make_room(cache, set(known), CACHE)
     if missing:
         cache.update(zip(missing, _encode_each(list(missing), path), strict=True))
-    get = cache.__getitem__
-    return [np.asarray(t.encode(x.decode(), add_special_tokens=False).ids, dtype=kind).tobytes() if c is None else b"".join(map(get, c)) for x, c in zip(texts, cut, strict=True)], kind
+    entries = [cache[w] for w in known]
+    data, offsets = raw(column)
+    for i in sorted({int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in added.finditer(data)}) if added else ():
+        entries.append(np.asarray(t.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode(), add_special_tokens=False).ids, dtype=kind).tobytes())
+        drop = int(first[i + 1] - first[i])
+        which = np.concatenate([which[: first[i]], [len(entries) - 1], which[first[i + 1] :]])
+        first = first + (np.arange(len(first)) > i) * (1 - drop)
+    if end_id is not None:
+        entries.append(np.asarray([end_id], dtype=kind).tobytes())
+        which = np.insert(which, first[1:], len(entries) - 1)
+        first = first + np.arange(len(first))
+    joined, at = raw(pa.array(entries, pa.binary()).take(pa.array(which, pa.int64())))
+    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(at[first].astype(np.int32)), pa.py_buffer(joined)]), kind
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
@@ -103,15 +120,13 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def run(batches):
         part, sums = TaskContext.get().partitionId(), {}
         for batch in slices(batches, "t"):
-            ids, kind = encode_words(batch.column(1).cast(pa.binary()).to_pylist(), path)
-            end = np.asarray([end_id], dtype=kind).tobytes()
-            ids = [x + end for x in ids]
-            n = [len(x) // np.dtype(kind).itemsize for x in ids]
-            queues, before = batch.column(2).to_pylist(), []
-            for q, k in zip(queues, n, strict=True):
+            ids, kind = encode_column(batch.column(1), path, end_id)
+            n = np.diff(np.frombuffer(ids.buffers()[1], np.int32)) // np.dtype(kind).itemsize
+            before = []
+            for q, k in zip(batch.column(2).to_pylist(), n.tolist(), strict=True):
                 before.append(sums.get(q, 0))
                 sums[q] = before[-1] + k
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "queue", "part", "before", "doc_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), ids], names=["doc_id", "queue", "part", "before", "doc_tokens", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, queue string, part int, before long, doc_tokens long, ids binary")
 
@@ -187,36 +202,38 @@ class Layout:
         self.before = np.asarray([p[2] for p in plan], dtype=np.int64).reshape(len(plan), -1)
         self.cum = np.asarray([p[3] for p in plan], dtype=np.int64).reshape(len(plan), -1)
 
-    def bound(self, phase: int, q: int, i: np.ndarray) -> np.ndarray:
-        """Tokens of queues 0..q served by the phase's windows before i."""
-        if q < 0:
-            return np.zeros(len(i), np.int64)
-        c = self.cum[phase, q]
-        return i * c if self.count[phase] == 1 else (i // SCALE) * self.window * c + (self.window * (i % SCALE) * c) // SCALE
+    def many(self, q: int, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the runs start..start+n of the queue's tokens: the run of each piece, its first token (from start), window and offset there."""
+        before, end = self.before[:, q], start + n
+        low = self.cum[:, q - 1] if q else np.zeros(len(self.first), np.int64)
+        high, until = self.cum[:, q], np.append(before[1:], np.iinfo(np.int64).max)
+
+        def spread(lo, hi):
+            size = np.maximum(hi - lo, 0)
+            who = np.repeat(np.arange(len(lo)), size)
+            return who, np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size) + lo[who]
+
+        run, ph = spread(np.searchsorted(before, start, "right") - 1, np.searchsorted(before, end, "left"))
+        x, stop = np.maximum(start[run], before[ph]), np.minimum(end[run], until[ph])
+        some = x < stop
+        run, ph, lo, hi = run[some], ph[some], (x - before[ph])[some], (stop - before[ph])[some]
+        single, rate = self.count[ph] == 1, (high - low)[ph] * self.window / SCALE
+        who, i = spread(np.where(single, 0, np.maximum(0, (lo / rate).astype(np.int64) - 2)), np.where(single, 1, np.minimum(self.count[ph], (hi / rate).astype(np.int64) + 3)))
+        run, ph, lo, hi, single = run[who], ph[who], lo[who], hi[who], single[who]
+
+        def served(c: np.ndarray, i: np.ndarray) -> np.ndarray:
+            """Tokens that all queues up to one have had before window i of the phase."""
+            return np.where(single, i * c, (i // SCALE) * self.window * c + (self.window * (i % SCALE) * c) // SCALE)
+
+        a, a2, c, c2 = served(low[ph], i), served(low[ph], i + 1), served(high[ph], i), served(high[ph], i + 1)
+        begin, finish = c - a, c2 - a2
+        keep = (finish > lo) & (begin < hi) & (finish > begin)
+        run, ph, i, lo, begin, own = run[keep], ph[keep], i[keep], lo[keep], begin[keep], (a2 - a)[keep]
+        return run, np.maximum(begin, lo) + before[ph] - start[run], self.first[ph] + i, own + np.maximum(lo - begin, 0)
 
     def pieces(self, q: int, start: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Queue tokens start..start+n: the pieces' first tokens (from start), windows and offsets there."""
-        cuts, seqs, offs, x, end = [], [], [], start, start + n
-        while x < end:
-            ph = int(np.searchsorted(self.before[:, q], x, "right")) - 1
-            stop = min(end, int(self.before[ph + 1, q]) if ph + 1 < len(self.first) else end)
-            lo, hi, base = x - self.before[ph, q], stop - self.before[ph, q], self.count[ph]
-            if base == 1:
-                i = np.zeros(1, np.int64)
-            else:
-                rate = (self.cum[ph, q] - (self.cum[ph, q - 1] if q else 0)) * self.window / SCALE
-                i = np.arange(max(0, int(lo / rate) - 2), min(int(base), int(hi / rate) + 3), dtype=np.int64)
-            a, b, a2 = self.bound(ph, q - 1, i), self.bound(ph, q, i), self.bound(ph, q - 1, i + 1)
-            begin = b - a
-            finish = self.bound(ph, q, i + 1) - a2
-            keep = (finish > lo) & (begin < hi) & (finish > begin)
-            i, begin, own = i[keep], begin[keep], (a2 - a)[keep]
-            inside = np.maximum(lo - begin, 0)
-            cuts.append(np.maximum(begin, lo) + self.before[ph, q] - start)
-            seqs.append(self.first[ph] + i)
-            offs.append(own + inside)
-            x = stop
-        return np.concatenate(cuts), np.concatenate(seqs), np.concatenate(offs)
+        return self.many(q, np.array([start]), np.array([n]))[1:]
 
 
 def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = False) -> DataFrame:
@@ -224,32 +241,36 @@ def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, wi
 
     targets: wanted token proportion by source; None: the corpus's own. One written table
     (the packed ids), no shuffle of text or ids while the offset table stays under
-    BROADCAST_ROWS rows; the driver sees one total per queue (MAX_QUEUES at most).
+    BROADCAST_ROWS rows; the driver sees one total for each source of LEAST or more tokens a window, which are at most
+    window / LEAST, and one for all others.
     """
+    if not 2 * LEAST <= window <= 1 << 14:
+        raise ValueError("window: 8 to 16384 tokens")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), F.col(source_col).cast("string").alias("queue"))
-    sources = [r.queue for r in slim.groupBy("queue").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "queue").limit(MAX_QUEUES + 1).collect()]
-    if len(sources) > MAX_QUEUES:
-        own = [x for x in sources[: MAX_QUEUES // 2] if x is not None]
-        slim = slim.withColumn("queue", F.when(F.col("queue").isin(own), F.col("queue")).otherwise(F.concat(F.lit("\x00"), F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES // 2 - 1)).cast("string"))))
     ids, _ = written(tokenize(slim, path, end_id))
-    held = ids.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("n"))
-    totals = {r.queue: r.n for r in held.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    everything = sum(totals.values())
-    want = {q: float((targets or {}).get(q, 0.0)) if targets else n / everything for q, n in totals.items()}
-    s = sum(want.values()) or 1.0
-    names = sorted(totals, key=lambda q: (q is not None, q))
-    small = [q for q in names if want[q] / s * window < 2]
-    number = {q: i for i, q in enumerate(x for x in names if x not in small)}
-    lane = {q: number.get(q, len(number)) for q in names}
-    if small:
-        number[None, "small"] = len(number)
-    count = [sum(totals[q] for q in names if lane[q] == i) for i in range(len(number))]
-    share = [sum(want[q] for q in names if lane[q] == i) / s for i in range(len(number))]
+    held, _ = written(ids.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("n")))
+    everything = held.agg(F.sum("n")).first()[0] or 0
+    totals = held.groupBy("queue").agg(F.sum("n").alias("n"))
+    if targets:
+        named = [q for q in targets if q is not None]
+        asked = totals.where(F.col("queue").isin(named) | (F.col("queue").isNull() if None in targets else F.lit(False)))
+    else:
+        asked = totals.where(F.col("n") * window >= LEAST * everything)
+    own = {r.queue: r.n for r in asked.collect()}
+    want = {q: float(targets[q]) if targets else n / everything for q, n in own.items()}
+    s = (sum(want.values()) if targets else 1.0) or 1.0
+    names = sorted((q for q in own if want[q] / s * window >= LEAST), key=lambda q: (q is not None, q))
+    count, share = [own[q] for q in names], [want[q] / s for q in names]
+    if sum(count) < everything:  # one more queue for all sources that are too small
+        count.append(everything - sum(count))
+        share.append(max(0.0, 1.0 - sum(share)))
     plan = phases(count, share, window)
-    lanes = docs.sparkSession.createDataFrame([(q, i) for q, i in lane.items()], "queue string, lane int")
-    own = held.join(F.broadcast(lanes), held.queue.eqNullSafe(lanes.queue)).select("part", held.queue, "lane", "n")
-    order = Window.partitionBy("lane").orderBy("part", F.col("queue").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = own.select(F.col("part").alias("p"), F.col("queue").alias("q"), "lane", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    lanes = docs.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "source string, lane int")
+    placed = held.join(F.broadcast(lanes), held.queue.eqNullSafe(lanes.source), "left").select("part", "queue", F.coalesce("lane", F.lit(len(names))).alias("lane"), "n")
+    earlier = lambda w, *order: F.coalesce(F.sum("n").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = placed.select("part", "queue", "lane", earlier(Window.partitionBy("lane", "part"), F.col("queue").asc_nulls_first()).alias("inside"))
+    parts = placed.groupBy("lane", "part").agg(F.sum("n").alias("n")).select("lane", "part", earlier(Window.partitionBy("lane"), "part").alias("base"))
+    offsets = inside.join(parts, ["lane", "part"]).select(F.col("part").alias("p"), F.col("queue").alias("q"), "lane", (F.col("base") + F.col("inside")).alias("base"))
     offsets, _ = written(offsets)
     if offsets.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
@@ -259,22 +280,30 @@ def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, wi
     def run(batches):
         layout = Layout(plan, window)
         for batch in batches:
-            doc, lanes_, at, n, blob = (batch.column(i).to_pylist() for i in range(5))
-            cols = [[] for _ in names_out]
-            for d, q, x, k, b in zip(doc, lanes_, at, n, blob, strict=True):
-                values = np.frombuffer(b, dtype=np.uint16 if len(b) == 2 * k else np.uint32).astype("<u4")
-                cuts, seqs, offs = layout.pieces(q, x, k)
-                ends = np.append(cuts[1:], k)
+            doc, lane, at, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            parts = []
+            for q in np.unique(lane).tolist():
+                rows = np.flatnonzero(lane == q)
+                which, *rest = layout.many(q, at[rows], n[rows])
+                parts.append((rows[which], *rest))
+            row, cut, seq, off = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4
+            order = np.lexsort((cut, row))
+            row, cut, seq, off = row[order], cut[order], seq[order], off[order]
+            end = np.append(cut[1:], 0)
+            last = np.append(row[1:] != row[:-1], True)[: len(row)]
+            end[last] = n[row[last]]
+            blobs, size = batch.column(4), len(row)
+            crc, tokens = np.zeros(size, np.int64), []
+            heads = np.searchsorted(row, np.arange(len(doc) + 1)).tolist()
+            begins, ends = (4 * cut).tolist(), (4 * end).tolist()
+            for i in range(len(doc)):
+                b = blobs[i].as_buffer()
+                values = np.frombuffer(b, dtype=np.uint16 if len(b) == 2 * n[i] else np.uint32).astype("<u4")
                 memory = memoryview(values.tobytes())
-                cols[0] += [d] * len(cuts)
-                cols[1] += cuts.tolist()
-                cols[2] += (ends - cuts).tolist()
-                cols[3] += [zlib.crc32(memory[4 * s : 4 * e]) for s, e in zip(cuts.tolist(), ends.tolist(), strict=True)]
-                cols[4] += [k] * len(cuts)
-                cols[5] += seqs.tolist()
-                cols[6] += offs.tolist()
+                crc[heads[i] : heads[i + 1]] = [zlib.crc32(memory[begins[k] : ends[k]]) for k in range(heads[i], heads[i + 1])]
                 if with_ids:
-                    cols[7] += [values[s:e].tolist() for s, e in zip(cuts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if k < 7 else pa.array(c, pa.list_(pa.int32())) for k, c in enumerate(cols)], names=names_out)
+                    tokens += [values[begins[k] // 4 : ends[k] // 4].tolist() for k in range(heads[i], heads[i + 1])]
+            cols = [pa.array(x, pa.int64()) for x in (doc[row], cut, end - cut, crc, n[row], seq, off)]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(tokens, pa.list_(pa.int32()))] * with_ids, names=names_out)
 
     return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
