@@ -5,32 +5,32 @@ Each word gets a label by forward-backward over the whole text; features are the
 learnt from code-switched training sequences made of stretches of texts of several
 languages. The text's language is the label with the largest mean posterior.
 
-Trained on a bounded, documented sample: per language the DOCS_PER_LANG rows (MOST_LANGS
-languages at most, the most frequent) with the smallest hashed id, SEQUENCES stretches of
-each. The chain is exact for any length: blocks of words are multiplied out first, then
+Trained on a bounded, documented sample: of every language that occurs the DOCS_PER_LANG rows
+with the smallest hashed id, SEQUENCES stretches of STRETCH words of each. The chain is exact for any length: blocks of words are multiplied out first, then
 entered with the messages of their neighbours.
 
 * Cases: null text or one without a letter gives ``und`` with score 0; digits and marks
   are no words; with no labelled row at all every text is ``und``; ties go to the label
-  that sorts first; repeated rows give repeated results.
+  that sorts first; repeated rows give repeated results; texts of any length are labelled whole; null ids
+  are predicted but not learnt from; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import random
 import re
-import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, make_room, slices
+from .common import crc_mod, distinct_words, mix, powers, slices
 
-DOCS_PER_LANG, MOST_LANGS, SEQUENCES, STRETCH = 300, 64, 6, 24
-BUCKETS, STEPS, BLOCK, CACHE = 1 << 15, 40, 64, 200_000
+DOCS_PER_LANG, SEQUENCES, STRETCH = 300, 6, 24
+BUCKETS, STEPS, BLOCK, CACHE = 1 << 15, 40, 64, 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -38,24 +38,40 @@ def words_of(text: str) -> list[str]:
     return [w for w in _WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
-_buckets: dict[str, int] = {}
-
-
-def _bucket(name: str) -> int:
-    found = _buckets.get(name)
-    if found is None:
-        found = zlib.crc32(name.encode()) % BUCKETS
-        if len(name) <= 5 and len(_buckets) < 200_000:
-            _buckets[name] = found
-    return found
-
-
-def features(word: str) -> list[int]:
-    """Hashed features of a word; a long word's n-grams count as often as they occur."""
-    w = f"<{word}>"
-    names = [f"w{word}", f"p{w[:2]}", f"p{w[:3]}", f"p{w[:4]}", f"s{w[-2:]}", f"s{w[-3:]}", f"s{w[-4:]}"]
-    names += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
-    return [_bucket(x) for x in names]
+def _grams(codes: np.ndarray, n: int, kind: int) -> np.ndarray:
+    """Bucket of the n code points from each place on, for one kind of feature (those that would pass the end are of no use)."""
+    h = np.full(len(codes), kind, np.uint64)
+    for k in range(n):
+        h[: len(codes) - k] = h[: len(codes) - k] * np.uint64(0x9E3779B1) + codes[k:]
+    return (mix(h) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of all words in one array, and where each word's begin: the word itself (lexicon), prefixes and suffixes of 2 to 4
+    characters (the word's edges count as characters), and all n-grams of 2 and 3, as often as they occur."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    start = np.cumsum(size) - size
+    own = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(codes)) - start[own]
+    at = np.cumsum(2 * size + 4) - 2 * size - 4
+    out = np.empty(int((2 * size + 4).sum()), np.int64)
+    weight = powers(0x9E6C63D0676A9A99, int(size.max(initial=0)))
+    out[at] = (mix(np.add.reduceat(mix(codes) * weight[place], start)) % np.uint64(BUCKETS)).astype(np.int64) if len(words) else 0
+    for n in (2, 3, 4):
+        fit = np.minimum(n, size)
+        head, tail = _grams(codes, n, n), _grams(codes, n, 10 + n)
+        if n == 4:  # words of one letter have three characters with their edges
+            short, short_tail = _grams(codes, 3, n), _grams(codes, 3, 10 + n)
+            out[at + 3] = np.where(size < 4, short[start], head[start])
+            out[at + 6] = np.where(size < 4, short_tail[start], tail[start + size - fit])
+        else:
+            out[at + n - 1], out[at + n + 2] = head[start], tail[start + size - n]
+    inner = place < size[own] - 1
+    out[(at[own] + 7 + place)[inner]] = _grams(codes, 2, 20)[inner]
+    inner = place < size[own] - 2
+    out[(at[own] + 6 + size[own] + place)[inner]] = _grams(codes, 3, 21)[inner]
+    return out, at
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -71,16 +87,11 @@ class CRF:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """exp of the feature sums, each row scaled by its maximum."""
-        rows = [features(w) for w in words]
-        size = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter((x for r in rows for x in r), np.int64, int(size.sum()))
-        out = np.empty((len(rows), len(self.labels)))
-        cut = np.cumsum(size) - size
-        for k in range(0, len(rows), 20_000):
-            e = min(len(rows), k + 20_000)
-            lo, hi = cut[k], cut[e - 1] + size[e - 1]
-            z = np.add.reduceat(self.weights[flat[lo:hi]], cut[k:e] - lo, axis=0)
-            out[k:e] = np.exp(z - z.max(1, keepdims=True))
+        out = np.empty((len(words), len(self.labels)))
+        for k in range(0, len(words), 20_000):
+            flat, at = features(words[k : k + 20_000])
+            z = np.add.reduceat(self.weights[flat], at, axis=0)
+            out[k : k + len(at)] = np.exp(z - z.max(1, keepdims=True))
         return np.maximum(out, 1e-12)
 
     def train(self, sequences: list[tuple[list[str], list[int]]]) -> None:
@@ -90,16 +101,14 @@ class CRF:
             return
         k, n, top = len(self.labels), len(sequences), len(sequences[0][0])
         vocabulary = {w: i for i, w in enumerate(sorted({w for s in sequences for w in s[0]}))}
-        rows = [features(w) for w in vocabulary]
-        size = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat, cut = np.concatenate([np.array(r) for r in rows]), np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(rows)), size)
+        flat, cut = features(list(vocabulary))
+        owner = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(flat))))
         words = np.zeros((top, n), np.int64)
         gold = np.full((top, n), -1)
         for i, (w, y) in enumerate(sequences):
             words[: len(w), i], gold[: len(y), i] = [vocabulary[x] for x in w], y
         live = gold >= 0
-        want = np.zeros((len(rows), k))
+        want = np.zeros((len(cut), k))
         np.add.at(want, (words[live], gold[live]), 1)
         steps = live[1:]
         want_moves = np.zeros((k, k))
@@ -116,7 +125,7 @@ class CRF:
                 now = np.where(live[t][:, None], new, now)
                 alpha[t] = now
             beta = np.ones((n, k))
-            got, got_moves = np.zeros((len(rows), k)), np.zeros((k, k))
+            got, got_moves = np.zeros((len(cut), k)), np.zeros((k, k))
             for t in range(top - 1, -1, -1):
                 on = live[t]
                 gamma = _normal(alpha[t] * beta)
@@ -180,45 +189,47 @@ class CRF:
             return words
         return np.stack([np.bincount(text, weights=total[:, j], minlength=len(lengths)) for j in range(k)], 1)
 
-    def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
-        """Language and mean posterior of each text."""
+    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and mean posterior of each text of a column."""
         if not self.labels:
-            return [("und", 0.0)] * len(texts)
-        cache = self.__dict__.setdefault("seen", {})
-        known = self.__dict__.setdefault("table", np.zeros((0, len(self.labels))))
-        parts = [t.split() for t in texts]
-        wanted = set().union(*map(set, parts))
-        full = len(cache)
-        new = make_room(cache, wanted, CACHE)
-        if len(cache) < full:  # rows of words that went go too
-            rows = sorted({x for v in cache.values() for x in v})
-            place = dict(zip(rows, range(len(rows)), strict=True))
-            for p, v in cache.items():
-                cache[p] = tuple(place[x] for x in v)
-            known = known[rows]
-        fresh: dict[str, int] = {}
-        for p in new:
-            cache[p] = tuple(fresh.setdefault(w, len(known) + len(fresh)) for w in words_of(p.decode("utf-8", "replace")))
-        if fresh:
-            known = np.concatenate([known, self.emissions(list(fresh))])
-        self.table = known
-        get = cache.__getitem__
-        rows = [[x for v in map(get, p) for x in v] for p in parts]
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        sums = self.posteriors(np.fromiter((x for r in rows for x in r), np.int64, int(lengths.sum())), lengths, known)
+            return ["und"] * len(column), np.zeros(len(column))
+        parts, which, first = distinct_words(column)
+        seen, rows = self.__dict__.setdefault("seen", {}), self.__dict__.setdefault("rows", {})
+        missing = set(parts).difference(seen)
+        if len(seen) + len(missing) > CACHE:
+            seen.clear()
+            rows.clear()
+            missing = set(parts)
+        if not rows:
+            self.table = np.zeros((0, len(self.labels)))
+        for p in missing:
+            seen[p] = tuple([rows.setdefault(w, len(rows)) for w in ((p.decode().lower(),) if p.isalpha() else words_of(p.decode("utf-8", "replace")))])
+        if len(rows) > len(self.table):
+            self.table = np.concatenate([self.table, self.emissions(list(islice(rows, len(self.table), None)))])
+        own = [seen[p] for p in parts]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        flat = np.fromiter((x for r in own for x in r), np.int64, int(size.sum()))
+        n = size[which]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(size) - size)[which], n)
+        total = np.append(0, np.cumsum(n))
+        lengths = total[first[1:]] - total[first[:-1]]
+        sums = self.posteriors(flat[place], lengths, self.table)
         best = sums.argmax(1)
-        return [(self.labels[b], float(min(1.0, s[b] / n))) if n else ("und", 0.0) for b, s, n in zip(best, sums, lengths, strict=True)]
+        score = np.where(lengths > 0, np.minimum(1.0, sums[np.arange(len(best)), best] / np.maximum(lengths, 1)), 0.0)
+        return [self.labels[b] if k else "und" for b, k in zip(best.tolist(), lengths.tolist(), strict=True)], score
+
+
+def stretches(text: str, seed: int) -> list[str]:
+    """SEQUENCES stretches of STRETCH words of a text at most, drawn by seed."""
+    w = words_of(text)
+    spots = range(0, len(w), STRETCH)
+    return [" ".join(w[s : s + STRETCH]) for s in sorted(random.Random(seed).sample(spots, min(SEQUENCES, len(spots))))]
 
 
-def sequences_of(samples: list[tuple[int, str, int]], seed: int = 7) -> list[tuple[list[str], list[int]]]:
-    """Training sequences from (id, text, label): plain stretches, and code-switched ones of two or three languages."""
+def sequences_of(samples: list[tuple[int, list[str], int]], seed: int = 7) -> list[tuple[list[str], list[int]]]:
+    """Training sequences from (id, stretches, label): plain stretches, and code-switched ones of two or three languages."""
     rng = random.Random(seed)
-    pool: list[tuple[list[str], int]] = []
-    for _, text, y in sorted(samples):
-        w = words_of(text)
-        spots = range(0, len(w), STRETCH)
-        for s in sorted(rng.sample(spots, min(SEQUENCES, len(spots)))):
-            pool.append((w[s : s + STRETCH], y))
+    pool = [(x.split(" "), y) for _, own, y in sorted(samples) for x in own]
     out = [(w, [y] * len(w)) for w, y in pool]
     for _ in range(len(pool) // 3):
         own, labels = [], []
@@ -232,24 +243,26 @@ def sequences_of(samples: list[tuple[int, str, int]], seed: int = 7) -> list[tup
 
 
 def fit(docs: DataFrame) -> CRF:
-    """The model, from rows whose crc32(id) mod 4 is not 2 and whose lang is not null. The driver gets DOCS_PER_LANG * MOST_LANGS texts at most."""
+    """The model, from rows whose crc32(id) mod 4 is not 2 and whose lang is not null. The driver gets stretches of DOCS_PER_LANG texts a language."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 4) != 2))
-    langs = sorted(r.lang for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect())
-    model = CRF(langs)
-    if not langs:
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    model = CRF(sorted(counts))
+    if not counts:
         return model
-    some = None
-    for y, lang in enumerate(langs):
-        part = rows.where(F.col("lang") == lang).select("doc_id", F.lit(y).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(DOCS_PER_LANG)
-        some = part if some is None else some.unionByName(part)
+    asked = docs.sparkSession.createDataFrame([(x, y, min(1.0, (2 * DOCS_PER_LANG + 50) / counts[x])) for y, x in enumerate(model.labels)], "lang_ string, y int, part double")
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)
+    near = rows.join(F.broadcast(asked), rows.lang == asked.lang_).select("doc_id", "y", share.alias("share"), "part").where("share < part")  # about twice as many as needed, so that no language is sorted as a whole
+    some = near.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("share", "doc_id"))).where(F.col("k") <= DOCS_PER_LANG).select("doc_id", "y")
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).join(F.broadcast(some), "doc_id")
-    got = {r.doc_id: (r.doc_id, r.t, r.y) for r in chosen.groupBy("doc_id").agg(F.min("t").alias("t"), F.min("y").alias("y")).collect()}
-    model.train(sequences_of(list(got.values())))
-    return model
 
+    def cut(batches):
+        for batch in slices(batches, "t"):
+            parts = [stretches(t, i) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(parts, pa.list_(pa.string()))], names=["doc_id", "y", "parts"])
 
-def _trim(batch: pa.RecordBatch) -> list[bytes]:
-    return batch.cast(pa.binary()).to_pylist()
+    cuts = chosen.select("doc_id", "t", "y").mapInArrow(cut, "doc_id long, y int, parts array<string>")
+    model.train(sequences_of([(r.doc_id, list(r.parts), r.y) for r in cuts.groupBy("doc_id").agg(F.min("parts").alias("parts"), F.min("y").alias("y")).collect()]))
+    return model
 
 
 def identify(docs: DataFrame, model: CRF) -> DataFrame:
@@ -259,19 +272,26 @@ def identify(docs: DataFrame, model: CRF) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches, "t"):
-            got = shared.value.predict(_trim(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got]), pa.array([g[1] for g in got])], names=["doc_id", "held_out", "lang_pred", "score"])
+            lang, score = shared.value.predict(batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return slim.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def language_column(spark, model: CRF):
-    """The language as an Arrow UDF of a text column, for filters that keep all other columns in the JVM."""
+    """The language of a text column."""
+    scored = scored_language_column(spark, model)
+    return lambda text: scored(text)["lang"]
+
+
+def scored_language_column(spark, model: CRF):
+    """Language and score (a struct) as an Arrow UDF of a text column, for filters that keep all other columns in the JVM."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("string")
+    @F.arrow_udf("lang string, score double")
     def language(text: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([pc.fill_null(text, "")], names=["t"])
-        return pa.array([g[0] for part in slices(iter([batch]), "t") for g in shared.value.predict(_trim(part.column(0)))], pa.string())
+        got = [shared.value.predict(part.column(0)) for part in slices(iter([batch]), "t")]
+        return pa.StructArray.from_arrays([pa.array([x for g in got for x in g[0]], pa.string()), pa.array(np.concatenate([g[1] for g in got]) if got else [], pa.float64())], names=["lang", "score"])
 
     return language
