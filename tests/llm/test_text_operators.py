@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -383,3 +384,40 @@ def test_small_sources_share_a_queue(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
     got = packing.pack(docs, queries.vocabulary("word_bpe_49k.json")).toPandas().sort_values(["sequence_id", "offset"])
     assert got.groupby("sequence_id").length.sum().iloc[:-1].eq(4096).all() and got.length.sum() == 9000 * 51 and got.doc_id.nunique() == 9000
+
+
+def test_toxicity_index_holds_all_words_and_skips_blocks(spark):
+    big = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    index = model.index
+    assert index.n == len(model.ids) > 3000 and len(model.terms) > 50_000
+    some = docs.where("doc_id % 50 = 7").select("doc_id", "text").collect()
+    words = [re.findall(r"[^\W\d_]+", (r.text or "").lower()) for r in some]
+    every = sum(int((index.posting[index.entry[t + 1]] - index.posting[index.entry[t]]).sum()) for t in (np.array(sorted({model.terms[w] for w in own if w in model.terms}), np.int64) for own in words))
+    index.read = 0
+
+    got = model.score(pa.array([r.text or "" for r in some]))
+    assert 0 < index.read < every
+    assert all(len(ids) == toxicity.NEIGHBOURS and s == sorted(s, reverse=True) for (_, ids, s), own in zip(got, words, strict=True) if len(own) > 50)
+    held = toxicity.score(docs, model).where("held_out").join(labels, "doc_id").collect()
+    caught = [r.predicted for r in held if r.toxic == 1]
+    assert sum(caught) / len(caught) > 0.85 and sum(r.predicted == r.toxic for r in held) / len(held) > 0.98
+
+
+def test_toxicity_search_is_exact_on_postings():
+    """Rare terms only, so that nothing is a dense column and blocks are really skipped."""
+    rng = random.Random(7)
+    rows = [{t: rng.random() + 5 * (t % 37 == 0) for t in rng.sample(range(8000), 12)} | {37 * (i // 40): 9.0} for i in range(1500)]
+    index = toxicity.BlockMaxIndex(rows, 8000)
+    assert not len(index.dense)
+    units = [index.unit(r) for r in rows]
+    for k in range(30):
+        q = {t: rng.random() for t in rng.sample(range(8000), 30)} | {37 * k: 4.0}
+        u = index.unit(q)
+        sims = np.array([sum(w * r.get(t, 0.0) for t, w in u.items()) for r in units])
+        ids, got = index.top(q, 16)
+        best = np.lexsort((np.arange(len(rows)), -np.round(sims, 12)))[:16]
+        best = best[sims[best] > 0]
+        assert ids.tolist() == best.tolist() and np.allclose(got, sims[best])
+    assert index.read < 30 * len(index.places) / 2
