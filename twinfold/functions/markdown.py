@@ -20,9 +20,10 @@ _ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])( {1,4}(?! )| (?= {4})|(?=$)|\t)
 _NOTE = re.compile(r" {0,3}\[\^([^\]\s]+)\]:[ \t]*")
 _DEF = re.compile(r""" {0,3}\[((?:[^\[\]\\]|\\.){1,999})\]:[ \t]*\n?[ \t]*(<(?:[^<>\n\\]|\\.)*>|[^\s<][^\s]*)(?:[ \t]*\n?[ \t]+("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*(?:\n|\Z)""", re.S)
 _DELIMITER = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+#: Names that start an HTML block (CommonMark, condition 6).
 _HTML_NAMES = "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul".replace(" ", "|")
 _OPEN_TAG = r"""<[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s"'=<>`]+|'[^']*'|"[^"]*"))?)*\s*/?>"""
-_CLOSE_TAG = r"</[A-Za-z](?:\w|-)*\s*>"
+_CLOSE_TAG = r"</[A-Za-z][A-Za-z0-9-]*\s*>"
 _HTML = [
     (re.compile(r" {0,3}<(?:script|pre|style|textarea)(?:\s|>|$)", re.I), re.compile(r"</(?:script|pre|style|textarea)>", re.I)),
     (re.compile(r" {0,3}<!--"), re.compile(r"-->")),
