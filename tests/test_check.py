@@ -11,7 +11,7 @@ from itertools import product
 
 import pytest
 from twinfold import cli
-from twinfold.functions.text import loose_normalize
+from twinfold.functions.text import loose_normalize, strict_normalize
 from twinfold.operators import compare as C
 from twinfold.operators.align import AlignmentLimitError, Pair, align, longest_chain, mark_reordered, rank_join, similar_candidates
 from twinfold.operators.html_blocks import extract_html
@@ -295,3 +295,20 @@ def test_stream(spark, tmp_path):
 
 def test_loose_is_stable():
     assert loose_normalize(loose_normalize("A—b  c!")) == loose_normalize("A—b  c!")
+
+
+@pytest.mark.parametrize("secret", ["https://user:\ts3cret@host.example/x", "https://user:s3\ncret@host.example/x", "https://us\ver:s3cret@host.example/x", "ftp://name:\fs3cret@h.example"])
+def test_secrets_with_control_white_space_are_never_shown(secret):
+    """In paragraphs, headings, list items, links and cells, on either side; the keys stay as they are."""
+    page = f"<main><h1>T {secret}</h1><p>Before {secret} after.</p><ul><li>{secret}</li></ul><p><a href='/x'>{secret}</a></p><table><tr><td>{secret}</td></tr></table></main>"
+    got = check_pair(page, "# Other\n\nElse.\n\n| a |\n| --- |\n| b |\n", "https://e.example/", "https://e.example/", Options())
+    assert got["findings"] and "s3" not in repr(got["findings"]) and "cret" not in repr(got["findings"]).replace("secret", "")
+    block = extract_html(f"<main><p>{secret}</p></main>")["blocks"][0]
+    assert block["text"] == strict_normalize(secret) and block["shown"] is not None
+
+
+@pytest.mark.parametrize("text", ["https://example.com:8443\nname@mail.example", "https://example.com\nname@mail.example", "https://[::1]\tx@y.example", "no address\there", "https://a.example/p\tq@r.example"])
+def test_addresses_beside_mail_addresses_have_no_display_twin(text):
+    from twinfold.functions.redact import display_twin
+
+    assert display_twin(text) is None

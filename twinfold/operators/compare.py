@@ -22,7 +22,12 @@ def label(b: dict) -> str:
 
 
 def _words(b: dict) -> str:
-    return b["code"] if b["type"] == "code" and b["code"] is not None else b["text"]
+    return b["code"] if b["type"] == "code" and b["code"] is not None else shown(b)
+
+
+def shown(x: dict) -> str:
+    """The text of a block or link as a report shows it."""
+    return x["text"] if x.get("shown") is None else x["shown"]
 
 
 def side(b: dict) -> dict:
@@ -132,7 +137,7 @@ def pair_links(h: list[dict], m: list[dict], most_work: float = float("inf")) ->
 
 
 def _link_text(x: dict, y: dict | None = None) -> str:
-    return "***" if x["masked"] or y and y["masked"] else redact_text(x["text"])
+    return "***" if x["masked"] or y and y["masked"] else redact_text(shown(x))
 
 
 def _link_href(x: dict, href: str) -> str:
@@ -145,8 +150,8 @@ def link_findings(h: dict, m: dict, both_bases: bool, limits: Limits) -> list[di
     for i, j in sorted([*pairs, *((i, -1) for i in missing)]):
         x = h["links"][i]
         if j < 0:
-            shown = _link_href(x, x["rawHref"])
-            out.append(finding("LINK_MISSING", "error", "html_only", f'link "{_link_text(x)}" to {shown} is only in the HTML', side(h), side(m), shown))
+            target = _link_href(x, x["rawHref"])
+            out.append(finding("LINK_MISSING", "error", "html_only", f'link "{_link_text(x)}" to {target} is only in the HTML', side(h), side(m), target))
             continue
         y = m["links"][j]
         if same_target(x, y):
@@ -162,8 +167,8 @@ def link_findings(h: dict, m: dict, both_bases: bool, limits: Limits) -> list[di
             out.append(finding("LINK_UNVERIFIED", "warning", "both", f'link "{text}": {why}', side(h), side(m), before, after))
     for j in added:
         y = m["links"][j]
-        shown = _link_href(y, y["rawHref"])
-        out.append(finding("LINK_ADDED", "error", "markdown_only", f'link "{_link_text(y)}" to {shown} is only in the Markdown', side(h), side(m), None, shown))
+        target = _link_href(y, y["rawHref"])
+        out.append(finding("LINK_ADDED", "error", "markdown_only", f'link "{_link_text(y)}" to {target} is only in the Markdown', side(h), side(m), None, target))
     return out
 
 
@@ -198,6 +203,7 @@ def table_findings(h: dict, m: dict) -> list[dict]:
         for c in range(max(len(x), len(y))):
             u, v = x[c] if c < len(x) else "", y[c] if c < len(y) else ""
             if u != v:
+                u, v = (t["cells_shown"][r][c] if t.get("cells_shown") and c < len(t["cells"][r]) else w for t, w in ((h, u), (m, v)))
                 out.append(finding("TABLE_CELL_CHANGED", "error", "both", f"cell in row {r + 1}, column {c + 1}", side(h), side(m), excerpt(u), excerpt(v)))
     return out
 
@@ -215,14 +221,14 @@ def text_findings(h: dict, m: dict) -> list[dict]:
     if h["text"] == m["text"]:
         return []
     if diff_numbers(h["numbers"], m["numbers"]):
-        shown = diff_numbers(visible_numbers(h["text"]), visible_numbers(m["text"]))
-        if shown is None:
+        apart = diff_numbers(visible_numbers(shown(h)), visible_numbers(shown(m)))
+        if apart is None:
             return [finding("NUMBER_CHANGED", "error", "both", f"a number of the {label(h)} differs inside a masked part of an address", side(h), side(m))]
-        x, y = (", ".join(s) for s in shown)
+        x, y = (", ".join(s) for s in apart)
         return [finding("NUMBER_CHANGED", "error", "both", f"numbers of the {label(h)}: {x or '(none)'} in HTML, {y or '(none)'} in Markdown", side(h), side(m), x, y)]
     minor = text_key(h["text"]) == text_key(m["text"])
     code, severity = ("TEXT_MINOR_CHANGED", "warning") if minor else ("TEXT_CHANGED", "error")
-    return [finding(code, severity, "both", f"the {label(h)} differs" + (" in case, punctuation or typography only" if minor else ""), side(h), side(m), excerpt(h["text"]), excerpt(m["text"]))]
+    return [finding(code, severity, "both", f"the {label(h)} differs" + (" in case, punctuation or typography only" if minor else ""), side(h), side(m), excerpt(shown(h)), excerpt(shown(m)))]
 
 
 def pair_findings(p: Pair, h: dict, m: dict, both_bases: bool, limits: Limits) -> list[dict]:

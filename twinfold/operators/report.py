@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .. import __version__
 from ..functions.redact import map_strings, one_line, redact_report
@@ -84,11 +83,12 @@ def render_text(r: dict) -> str:
 
 def reports(result: ParityResult, form: str = "json") -> DataFrame:
     """pair_id, report of every pair, ready for a text sink."""
-    strict = result.strict
+    strict, render = result.strict, render_json if form == "json" else render_text
 
-    @F.udf(StringType())
-    def render(row) -> str:
-        r = report(row.asDict(recursive=True), strict)
-        return render_json(r) if form == "json" else render_text(r)
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                rows = batch.slice(k, 64).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([r["pair_id"] for r in rows], pa.string()), pa.array([render(report(r, strict)) for r in rows], pa.string())], names=["pair_id", "report"])
 
-    return result.results.select("pair_id", render(F.struct("*")).alias("report"))
+    return result.results.mapInArrow(run, "pair_id string, report string")
