@@ -297,6 +297,15 @@ def test_loose_is_stable():
     assert loose_normalize(loose_normalize("A—b  c!")) == loose_normalize("A—b  c!")
 
 
+@pytest.mark.parametrize(("label", "name"), [("latin1", "cp1252"), ("ISO-8859-1", "cp1252"), ("US-ASCII", "cp1252"), ("windows-1251", "cp1251"), ("iso-8859-2", "iso8859-2"), ("gb2312", "gb18030"), ("big5", "big5hkscs"), ("euc-kr", "cp949"), ("shift_jis", "cp932"), ("x-sjis", "cp932"), ("euc-jp", "euc_jp"), ("koi8-r", "koi8-r"), ("ibm866", "cp866"), ("macintosh", "mac-roman"), ("utf8", "utf-8"), ("utf-16", "utf-16-le"), ("tis-620", "cp874"), ("utf-7", None), ("rot13", None), ("cp437", None), ("nope", None), ("", None)])
+def test_charset_labels(label, name):
+    assert files.codec(label) == name
+
+
+def test_open_bytes_of_windows_codecs():
+    assert files.decode_bytes(b"a\x81\x80", "text/plain; charset=windows-1252") == "a\x81€" and files.decode_bytes(b"a\xff", "text/plain; charset=utf-8") == "a\ufffd"
+
+
 @pytest.mark.parametrize("secret", ["https://user:\ts3cret@host.example/x", "https://user:s3\ncret@host.example/x", "https://us\ver:s3cret@host.example/x", "ftp://name:\fs3cret@h.example"])
 def test_secrets_with_control_white_space_are_never_shown(secret):
     """In paragraphs, headings, list items, links and cells, on either side; the keys stay as they are."""

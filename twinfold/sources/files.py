@@ -12,20 +12,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-_WINDOWS = dict.fromkeys("ascii us-ascii latin1 l1 iso-8859-1 iso8859-1 iso88591 iso_8859-1 cp819 ibm819 windows-1252 cp1252 x-cp1252 ansi_x3.4-1968".split(), "cp1252") | dict.fromkeys("iso-8859-9 latin5 iso88599 windows-1254 cp1254".split(), "cp1254") | {"gb2312": "gbk", "gb_2312-80": "gbk", "x-gbk": "gbk", "shift-jis": "cp932", "shift_jis": "cp932", "sjis": "cp932", "windows-31j": "cp932", "x-sjis": "cp932", "euc-kr": "cp949", "ks_c_5601-1987": "cp949", "utf-16": "utf-16-le", "unicode": "utf-16-le"}
+# What the Encoding standard reads in place of a codec, by Python's name of it, and labels that Python doesn't know.
+_WEB = {"ascii": "cp1252", "iso8859-1": "cp1252", "iso8859-9": "cp1254", "iso8859-11": "cp874", "tis-620": "cp874", "gb2312": "gb18030", "gbk": "gb18030", "hz": None, "shift_jis": "cp932", "euc_kr": "cp949", "big5": "big5hkscs", "utf-16": "utf-16-le"}
+_LABELS = {"x-gbk": "gbk", "x-sjis": "shift_jis", "x-cp1250": "cp1250", "x-cp1251": "cp1251", "x-cp1252": "cp1252", "x-euc-jp": "euc_jp", "x-mac-roman": "mac-roman", "x-mac-cyrillic": "mac-cyrillic", "x-mac-ukrainian": "mac-cyrillic", "x-x-big5": "big5", "ansi_x3.4-1968": "ascii", "gb_2312-80": "gb2312", "ks_c_5601-1987": "euc_kr", "windows-949": "cp949", "windows-31j": "cp932", "windows-874": "cp874", "dos-874": "cp874", "unicode": "utf-16-le", "ucs-2": "utf-16-le", "csunicode": "utf-16-le", "unicodefffe": "utf-16-be", "unicode-1-1-utf-8": "utf-8", "x-unicode20utf8": "utf-8", "koi": "koi8-r", "koi8": "koi8-r", "koi8-ru": "koi8-u", "logical": "iso8859-8", "visual": "iso8859-8", "sun_eu_greek": "iso8859-7"}
+#: Codecs that pages may be in; others that Python has are no charsets there.
+_KNOWN = frozenset(["utf-8", "utf-16-le", "utf-16-be", "cp866", "koi8-r", "koi8-u", "mac-roman", "mac-cyrillic", "cp874", "gb18030", "big5hkscs", "euc_jp", "iso2022_jp", "cp932", "cp949", *(f"iso8859-{n}" for n in (2, 3, 4, 5, 6, 7, 8, 10, 13, 14, 15, 16)), *(f"cp{n}" for n in range(1250, 1259))])
 _META = re.compile(rb"<meta\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
 _MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_BE, "utf-16-be"), (codecs.BOM_UTF16_LE, "utf-16-le"))
 
 
 def codec(label: str | None) -> str | None:
-    """Python's codec of a charset label, or None."""
+    """Python's codec of a charset label, or None where pages can't be in it."""
     label = (label or "").strip().strip("\"'").lower()
     if not label:
         return None
     try:
-        return codecs.lookup(_WINDOWS.get(label, label)).name
+        name = codecs.lookup(_LABELS.get(label, label)).name
     except LookupError:
         return None
+    name = _WEB.get(name, name)
+    return name if name in _KNOWN else None
+
+
+def _as_control(e: UnicodeError):
+    """Bytes that a Windows codec leaves open are control characters; in all others bad bytes become U+FFFD."""
+    if isinstance(e, UnicodeDecodeError) and re.fullmatch(r"cp125[0-8]|cp874", e.encoding) or getattr(e, "encoding", "") == "charmap":
+        return "".join(map(chr, e.object[e.start : e.end])), e.end
+    return codecs.replace_errors(e)
+
+
+codecs.register_error("twinfold-web", _as_control)
 
 
 def header_charset(content_type: str | None) -> str | None:
@@ -52,7 +68,7 @@ def decode_bytes(data: bytes, content_type: str | None = None) -> str:
             return data[len(mark) :].decode(name, "replace")
     kind = (content_type or "").split(";")[0].strip().lower()
     name = header_charset(content_type) or (meta_charset(data) if kind in ("text/html", "application/xhtml+xml", "") else None) or "utf-8"
-    return data.decode(name, "replace")
+    return data.decode(name, "twinfold-web")
 
 
 def decompress(data: bytes, encoding: str | None) -> bytes:
