@@ -74,6 +74,49 @@ def test_wrappers_find_the_article(spark):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+def test_the_wrapper_decides():
+    """Hosts without article elements: what all pages say, and where most of the varying text is, only the host's other pages tell."""
+    rng = random.Random(3)
+    word = lambda: rng.choice(("alpha", "beta", "gamma", "delta", "rho", "sigma", "tau", "phi"))
+    pages, want = [], []
+    for k in range(20):
+        body = [" ".join(word() for _ in range(3 if k % 4 == 0 else 30)) + f" {k} {j}." for j in range(2)]
+        links = "".join(f"<li><a href='/{word()}'>{word()} {word()} story</a>" for _ in range(6))
+        inner = "".join(f"<p>{x}</p>" for x in body)
+        pages.append(f"<div class=top>The paper of record, since a very long time and for all who read it</div><div class=page><div class=text><div class=tagline>All the news that all of us print</div>{inner}<div class=comment-list><p>Reader {k}: {word()}</p></div></div><ul class=more>{links}</ul></div><div class=end>Imprint and all other things that stand here always</div>")
+        want.append("\n".join(body))
+    host = None
+    for x in pages:
+        host = wrappers.merge(host, wrappers.skeleton(x))
+    host = wrappers.Wrapper(host)
+    assert [wrappers.main_text(x, host) for x in pages] == want
+    alone = [wrappers.main_text(x, None) for x in pages]
+    assert sum(a != w for a, w in zip(alone, want, strict=True)) == len(pages) and all("All the news" in a for a in alone)
+
+
+def test_merging_is_union_free_and_covers_both_sides():
+    """Brute force: every page's element sequences are words of the merged expression, read as a regular expression."""
+    import re
+
+    rng = random.Random(5)
+
+    def page(depth=0):
+        return "".join(f"<{t}>{page(depth + 1) if t in ('div', 'ul') and depth < 2 else 'x'}</{t}>" for t in rng.choices(("div", "p", "ul", "h2", "table"), k=rng.randrange(1, 5)))
+
+    def flat(node):
+        return "#" if node.name == "#" else ("" if node.name == "#root" else f"<{node.name}>") + "".join(map(flat, node.children)) + ("" if node.name == "#root" else f"</{node.name}>")
+
+    for _ in range(60):
+        pages = [page() for _ in range(rng.randrange(2, 6))]
+        merged = None
+        for x in pages:
+            merged = wrappers.merge(merged, wrappers.skeleton(x))
+        text = wrappers.expression(merged)
+        assert "|" not in text
+        pattern = re.compile(text.replace("#TEXT", "#"))
+        assert all(pattern.fullmatch(flat(wrappers.parse(x))) for x in pages), (text, pages)
+
+
 def test_wrapper_expressions():
     a = wrappers.skeleton("<div><h1>x</h1><p>a</p></div>")
     b = wrappers.skeleton("<div><h1>y</h1><p>a</p><p>b</p><ul><li>1<li>2</ul></div>")
@@ -122,12 +165,35 @@ def test_vectors_against_brute_force(spark, monkeypatch, chunk):
     assert flat_graph.near_duplicates(df.limit(0)).count() == 0 and flat_graph.near_duplicates(df.where("vec_id > 8999 and vec_id <> 9004")).count() == 6
 
 
+def test_vectors_of_rare_lengths_link(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(700)] + [(1000, [1.0, 2.0]), (1001, [1.0, 2.0]), (1002, [1.0, 2.1]), (1003, [2.0, -1.0]), (1004, [1.0, 2.0, 3.0]), (1005, [5.0, 10.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in flat_graph.near_duplicates(df).collect()}
+    assert got[1000] == got[1001] == got[1002] == got[1005] == (3, 1000) and got[1003] == (0, 1003) and got[1004] == (0, 1004) and len(got) == len(rows)
+
+
+def test_dense_groups_are_found_whole(spark):
+    """Groups of 40 to 400 vectors that are all near each other, among others; recall by the audit."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for size in (40, 150, 400):
+        centre = rng.normal(size=32)
+        rows += [centre + rng.normal(size=32) * 0.12 for _ in range(size)]
+    rows += list(rng.normal(size=(900, 32)))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    assert flat_graph.audit(df, flat_graph.near_duplicates(df), every=4) >= 0.97
+
+
 def pgm(a):
     a = np.clip(a, 0, 255).astype(np.uint8)
     return b"P5\n%d %d\n255\n" % a.shape[::-1] + a.tobytes()
 
 
-def test_image_copies(spark):
+@pytest.mark.parametrize("group", [image_copies.GROUP, 3])
+def test_image_copies(spark, monkeypatch, group):
+    """With a small GROUP all keys are split by second keys, and the largest go by their first and last images."""
+    monkeypatch.setattr(image_copies, "GROUP", group)
     rng, rows = np.random.default_rng(1), []
     for k in range(6):
         a = np.zeros((120, 140)) + rng.integers(60, 190)
@@ -143,6 +209,28 @@ def test_image_copies(spark):
     assert image_copies.copies(spark.createDataFrame([], "img long, data binary")).count() == 0
 
 
+def test_small_crops_and_edits_are_found(spark):
+    """Crops of a tenth of the area, brightness, noise, turns and halves of large pictures."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(6):
+        h, w = 300, 340
+        a = np.zeros((h, w)) + rng.integers(60, 190)
+        for _ in range(260):
+            y, x, hh, ww = rng.integers(0, h - 5), rng.integers(0, w - 5), rng.integers(4, 40), rng.integers(4, 40)
+            a[y : y + hh, x : x + ww] = rng.integers(0, 256)
+        edits = [a, a[100:196, 113:222], a * 0.7 + 30, a + rng.normal(0, 6, a.shape), np.rot90(a), a.reshape(h // 2, 2, w // 2, 2).mean((1, 3))]
+        rows += [(k * 10 + j, pgm(x)) for j, x in enumerate(edits)]
+    got = image_copies.copies(spark.createDataFrame(rows, "img long, data binary").withColumns({"p": F.lit(1), "key": F.lit(2), "lo": F.lit(3)}))
+    assert [r.component_id for r in got.orderBy("img").collect()] == [i // 10 * 10 for i, _ in rows]
+
+
+def test_corners_follow_the_area():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 256, (400, 400)).astype(np.float32).repeat(4, 0).repeat(4, 1)[:1200, :1200]
+    few, many = len(image_copies.describe(a[:300, :300])), len(image_copies.describe(a))
+    assert 10 * few < many < 30 * few
+
+
 def test_png():
     import struct
     import zlib

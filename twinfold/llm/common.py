@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,20 +18,31 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at a time; a longer text is worked on alone.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch that a Python worker gets.
+BATCH_BYTES = 8 << 20
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one is made only where the setting is missing, as in tests."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Only where all run in one process, as in tests, a missing setting is made up for by a local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="twinfold-")
         shared_dir.own = found
     return f"{found.rstrip('/')}/twinfold-{spark.sparkContext.applicationId}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Makes the Arrow batches that Python workers get smaller than Spark's 64 MB, where the session doesn't set their size itself: rows of long texts fill it, on both sides and in every task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -38,6 +52,7 @@ def drop_table(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, drop: str | None = None) -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read again, and its path: lineage ends there, so lost executors cost no recomputation. drop: a table that is no longer needed."""
     spark = df.sparkSession
+    bound_batches(spark)
     root = shared_dir(spark)
     path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -72,6 +87,13 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: workers live on, and each next stage needs its own."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can't
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the text column holds at most limit bytes a slice (one row at least). Null texts become empty."""
     for batch in batches:
@@ -88,6 +110,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def make_room(cache: dict, wanted: set, most: int) -> set:

@@ -16,9 +16,10 @@
 
 audit() measures recall against brute force for a set of queries over all vectors, in blocks.
 
-* Cases: null, empty or zero vectors, and those with null or non-finite components or another
-  length than most vectors', link with nothing; identical rows link with each other; repeated
-  vec_ids count as rows; ties need no order as all links in range count; an empty table gives no rows.
+* Cases: null, empty or zero vectors, and those with null or non-finite components, link with nothing; vectors of different
+  lengths don't link with each other; lengths with SMALL distinct vectors at most need no graph; identical rows link with each other; repeated
+  vec_ids count as rows; ties need no order as all links in range count; very long vectors are compared whole; null ids are rows
+  without links of their own; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import components, local_roots, written
 
 SAMPLE, PER_SHARD, MOST_SHARDS, OVERLAP, CHUNK = 20_000, 500, 4096, 3, 3000
+#: Distinct vectors of a length up to which all are compared, in one task a length.
+SMALL = 300
 DEGREE, CANDIDATES, RANDOM, ALPHA, BEAM = 24, 40, 12, 1.2, 24
 
 
@@ -155,21 +158,49 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _dimension(rows: DataFrame) -> int | None:
-    """The commonest length of vectors that can link."""
-    found = rows.where("v is not null").groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    return found.d if found else None
-
-
 def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row."""
-    spark = vectors.sparkSession
+    """vec_id, n_links, component_id, kept of every row. Vectors are compared with those of their length; the driver sees the lengths and their counts."""
     rows, _ = written(_unit(vectors, id_col, vector_col))
-    dims = _dimension(rows)
-    if dims is None:
+    reps, _ = written(rows.where("v is not null and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    lengths = {r.d: r.n for r in reps.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    large = sorted(d for d, n in lengths.items() if n > SMALL)
+    parts = [_graph_links(reps.where(F.size("v") == d), d, lengths[d], least) for d in large]
+    if len(large) < len(lengths):
+        parts.append(_small_links(reps.where(~F.size("v").isin(large)) if large else reps, least))
+    if not parts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    reps, _ = written(rows.where(F.size("v") == dims).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    total = reps.count()
+    found = parts[0]
+    for other in parts[1:]:
+        found = found.unionByName(other)
+    links = found.groupBy("a").agg(F.sum("links").alias("links"))
+    joined = components(found.where("a <> b").select("a", "b"))
+    state = reps.select("rep", "n").join(links, F.col("rep") == links.a, "left").join(joined, F.col("rep") == joined.node, "left")
+    state = state.select(F.col("rep").alias("r"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    copies = reps.where("n > 1").select(F.col("v").alias("w"), "rep")
+    owner = rows.join(copies, (rows.v == copies.w) & rows.vec_id.isNotNull(), "left").select("vec_id", F.coalesce("rep", "vec_id").alias("rep"))
+    out = owner.join(state, owner.rep == state.r, "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+def _small_links(reps: DataFrame, least: float) -> DataFrame:
+    """a, b, links of vectors of rare lengths, of each of which there are SMALL at most: all are compared."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, n, x = table.column("rep").to_numpy(), table.column("n").to_numpy(), _matrix(table.column("v"))
+        hit = x @ x.T >= least
+        np.fill_diagonal(hit, False)
+        i, j = np.nonzero(hit)
+        a, b = local_roots(ids[i], ids[j]) if len(i) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.table({"a": pa.array(np.concatenate([a, ids])), "b": pa.array(np.concatenate([b, ids])), "links": pa.array(np.concatenate([np.zeros(len(a), np.int64), hit @ n]))})
+
+    found = reps.withColumn("d", F.size("v")).groupBy("d").applyInArrow(lambda key, table: compare(table), "a long, b long, links long")
+    return written(found)[0]
+
+
+def _graph_links(reps: DataFrame, dims: int, total: int, least: float) -> DataFrame:
+    """a, b, links (of a) of distinct vectors of one length, by the graph."""
+    spark = reps.sparkSession
     sample = reps.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(max(1, min(SAMPLE, 4_000_000 // dims)))
     centroids = kmeans(_matrix(sample.toArrow().column("v")), max(1, min(MOST_SHARDS, total // PER_SHARD)))
     overlap = min(OVERLAP, len(centroids))
@@ -239,22 +270,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
         a, b = local_roots(ids[qs], ids[ms]) if len(qs) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         return pa.table({"a": pa.array(np.concatenate([a, ids[k]])), "b": pa.array(np.concatenate([b, ids[k]])), "links": pa.array(np.concatenate([np.zeros(len(a), np.int64), links[k]]))})
 
-    found, _ = written(units.groupBy("shard", "i", "j").applyInArrow(search, "a long, b long, links long"))
-    links = found.groupBy("a").agg(F.sum("links").alias("links"))
-    joined = components(found.where("a <> b").select("a", "b"))
-    state = homes.select("rep", "n").join(links, F.col("rep") == links.a, "left").join(joined, F.col("rep") == joined.node, "left")
-    state = state.select(F.col("rep").alias("r"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    copies = reps.where("n > 1").select(F.col("v").alias("w"), "rep")
-    owner = rows.join(copies, rows.v == copies.w, "left").select("vec_id", F.coalesce("rep", "vec_id").alias("rep"))
-    out = owner.join(state, owner.rep == state.r, "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return written(units.groupBy("shard", "i", "j").applyInArrow(search, "a long, b long, links long"))[0]
 
 
 def audit(vectors: DataFrame, result: DataFrame, every: int = 20, least: float = 0.95, most: int = 2000, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
-    """Recall of result's n_links for queries whose id is divisible by every (the most smallest ids), each compared with all rows in blocks."""
+    """Recall of result's n_links for queries of the commonest length whose id is divisible by every (the most smallest ids), each compared with all rows in blocks."""
     rows = _unit(vectors, id_col, vector_col).where("v is not null")
-    rows = rows.where(F.size("v") == F.lit(_dimension(rows)))
+    common = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    rows = rows.where(F.size("v") == F.lit(common.d if common else 0))
     asked = rows.where(F.col("vec_id") % every == 0).orderBy("vec_id").limit(most).toArrow()
     if not asked.num_rows:
         return 1.0
