@@ -94,6 +94,17 @@ def test_the_wrapper_decides():
     assert sum(a != w for a, w in zip(alone, want, strict=True)) == len(pages) and all("All the news" in a for a in alone)
 
 
+def test_titles_stay_with_their_text():
+    for shell in ("<article><h1>Title {k}</h1><div class=body>{p}</div></article>", "<div class=page><h1>Title {k}</h1><div class=body>{p}</div></div>", "<main><div class=hold><h2>Title {k}</h2><div class=body>{p}</div></div></main>"):
+        pages = ["<nav><a href=/>Home</a></nav>" + shell.format(k=k, p="".join(f"<p>Words that vary with page {k} and block {j}, at some length.</p>" for j in range(3))) for k in range(12)]
+        host = None
+        for x in pages:
+            host = wrappers.merge(host, wrappers.skeleton(x))
+        for k, x in enumerate(pages):
+            for w in (host, None):
+                assert wrappers.main_text(x, w).split("\n") == [f"Title {k}"] + [f"Words that vary with page {k} and block {j}, at some length." for j in range(3)]
+
+
 def test_merging_is_union_free_and_covers_both_sides():
     """Brute force: every page's element sequences are words of the merged expression, read as a regular expression."""
     import re
