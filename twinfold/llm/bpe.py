@@ -3,7 +3,8 @@
 The vocabulary and merges are read from a public tokenizers file; nothing is trained.
 
 * Cases: a null text counts as empty; an empty text has no ids, the hash of an empty
-  string for both digests; repeated rows give repeated results; other columns of the
+  string for both digests; repeated rows give repeated results; texts of any length are encoded whole; null ids stay
+  null; equal ranks can't occur (a pair has one); an empty table gives no rows; other columns of the
   input, whatever their names, are not read.
 * Spelled-out added tokens (as ``<|endoftext|>``) become their ids, as the library does.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import make_room, points, raw, slices
+from .common import bound_batches, make_room, points, raw, slices
 
 _WS = r"\t-\r \x85\xa0  -     　"
 _SPLIT = regex.compile(rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -224,6 +225,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 cols += [pa.array([[int(i) for i in x.split(b",")] if x else [] for x in ids], pa.list_(pa.int32())), pa.array(texts)]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
+    bound_batches(docs.sparkSession)
     return docs.selectExpr(f"cast(`{id_col}` as long) as `{id_col}`", f"cast(`{text_col}` as string) as t").mapInArrow(run, schema)
 
 

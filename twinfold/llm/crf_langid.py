@@ -27,10 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, distinct_words, mix, powers, slices
+from .common import bound_batches, crc_mod, distinct_words, mix, powers, slices
 
 DOCS_PER_LANG, SEQUENCES, STRETCH = 300, 6, 24
-BUCKETS, STEPS, BLOCK, CACHE = 1 << 15, 40, 64, 400_000
+BUCKETS, STEPS, BLOCK, CACHE = 1 << 15, 40, 64, 250_000
+#: Bytes of text that are labelled at a time.
+SLICE = 2 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -249,7 +251,7 @@ def fit(docs: DataFrame) -> CRF:
     model = CRF(sorted(counts))
     if not counts:
         return model
-    asked = docs.sparkSession.createDataFrame([(x, y, min(1.0, (2 * DOCS_PER_LANG + 50) / counts[x])) for y, x in enumerate(model.labels)], "lang_ string, y int, part double")
+    asked = docs.sparkSession.createDataFrame(pa.table({"lang_": pa.array(model.labels, pa.string()), "y": pa.array(range(len(model.labels)), pa.int32()), "part": pa.array([min(1.0, (2 * DOCS_PER_LANG + 50) / counts[x]) for x in model.labels], pa.float64())}))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)
     near = rows.join(F.broadcast(asked), rows.lang == asked.lang_).select("doc_id", "y", share.alias("share"), "part").where("share < part")  # about twice as many as needed, so that no language is sorted as a whole
     some = near.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("share", "doc_id"))).where(F.col("k") <= DOCS_PER_LANG).select("doc_id", "y")
@@ -267,11 +269,12 @@ def fit(docs: DataFrame) -> CRF:
 
 def identify(docs: DataFrame, model: CRF) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; no shuffle."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), crc_mod("doc_id", 4).eqNullSafe(F.lit(2)).alias("held_out"), F.col("text").cast("string").alias("t"))
 
     def run(batches):
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", SLICE):
             lang, score = shared.value.predict(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -286,12 +289,13 @@ def language_column(spark, model: CRF):
 
 def scored_language_column(spark, model: CRF):
     """Language and score (a struct) as an Arrow UDF of a text column, for filters that keep all other columns in the JVM."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang string, score double")
     def language(text: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([pc.fill_null(text, "")], names=["t"])
-        got = [shared.value.predict(part.column(0)) for part in slices(iter([batch]), "t")]
+        got = [shared.value.predict(part.column(0)) for part in slices(iter([batch]), "t", SLICE)]
         return pa.StructArray.from_arrays([pa.array([x for g in got for x in g[0]], pa.string()), pa.array(np.concatenate([g[1] for g in got]) if got else [], pa.float64())], names=["lang", "score"])
 
     return language

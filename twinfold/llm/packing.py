@@ -39,7 +39,7 @@ LEAST = 4
 #: Shares are multiples of 1 / SCALE; window * SCALE ** 2 must fit 63 bits.
 SCALE = 1 << 24
 #: Entries of a worker's cache of words, beyond those of the texts at hand.
-CACHE = 600_000
+CACHE = 450_000
 #: Rows of the offset table (one per partition and queue) up to which it is broadcast; it is joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
 
@@ -265,7 +265,7 @@ def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, wi
         count.append(everything - sum(count))
         share.append(max(0.0, 1.0 - sum(share)))
     plan = phases(count, share, window)
-    lanes = docs.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "source string, lane int")
+    lanes = docs.sparkSession.createDataFrame(pa.table({"source": pa.array(names, pa.string()), "lane": pa.array(range(len(names)), pa.int32())}))
     placed = held.join(F.broadcast(lanes), held.queue.eqNullSafe(lanes.source), "left").select("part", "queue", F.coalesce("lane", F.lit(len(names))).alias("lane"), "n")
     earlier = lambda w, *order: F.coalesce(F.sum("n").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = placed.select("part", "queue", "lane", earlier(Window.partitionBy("lane", "part"), F.col("queue").asc_nulls_first()).alias("inside"))
@@ -280,7 +280,7 @@ def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, wi
     def run(batches):
         layout = Layout(plan, window)
         for batch in batches:
-            doc, lane, at, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            lane, at, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 4))
             parts = []
             for q in np.unique(lane).tolist():
                 rows = np.flatnonzero(lane == q)
@@ -294,16 +294,16 @@ def pack(docs: DataFrame, path: str, targets: dict[str, float] | None = None, wi
             end[last] = n[row[last]]
             blobs, size = batch.column(4), len(row)
             crc, tokens = np.zeros(size, np.int64), []
-            heads = np.searchsorted(row, np.arange(len(doc) + 1)).tolist()
+            heads = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
             begins, ends = (4 * cut).tolist(), (4 * end).tolist()
-            for i in range(len(doc)):
+            for i in range(batch.num_rows):
                 b = blobs[i].as_buffer()
                 values = np.frombuffer(b, dtype=np.uint16 if len(b) == 2 * n[i] else np.uint32).astype("<u4")
                 memory = memoryview(values.tobytes())
                 crc[heads[i] : heads[i + 1]] = [zlib.crc32(memory[begins[k] : ends[k]]) for k in range(heads[i], heads[i + 1])]
                 if with_ids:
                     tokens += [values[begins[k] // 4 : ends[k] // 4].tolist() for k in range(heads[i], heads[i + 1])]
-            cols = [pa.array(x, pa.int64()) for x in (doc[row], cut, end - cut, crc, n[row], seq, off)]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(tokens, pa.list_(pa.int32()))] * with_ids, names=names_out)
+            cols = [pa.array(x, pa.int64()) for x in (cut, end - cut, crc, n[row], seq, off)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *cols] + [pa.array(tokens, pa.list_(pa.int32()))] * with_ids, names=names_out)
 
     return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)

@@ -14,16 +14,19 @@ either one, and pairs are compared at the smaller home only.
   (two words differ in <= 2 bits exactly if some point is within 1 bit of both).
 near_copies() finds texts whose sets of five-word shingles are similar (0.8 or more). Their
 fingerprints over shingles differ in far more bits than any covering code can span, so it takes
-LANES fingerprints of 46 bits (both codes, nothing free) over single words, which an edit moves
+LANES fingerprints of 46 bits (both codes, nothing free) over distinct single words, which an edit moves
 least; texts that meet at an anchor with one bit or none between them in any lane are candidates, as are those that
 share a min-hash band of their shingle sets (lanes favour scattered edits, bands depend on the similarity
 alone), and each candidate pair is verified on the shingles themselves. In anchors of more than STAR comparisons the
-members first meet one centre, drawn anew by every lane and anchor; what is not connected after
-that is compared pair by pair, in anchors of more than CROWD comparisons by the members outside
-the anchor's largest connected part with all others.
+members first meet one centre, in those of more than CROWD then a second one; of the members that are not connected after
+that, all pairs are found that can be similar enough, by prefixes of their shingles from the rarest on (prefix_pairs(): exact, whatever the anchor's size). The centre is the member that shares the most
+anchors with others (in a group of copies that is what they were copied from), so most copies are connected by it at once and the many anchors of a large group
+ask for the same few pairs.
 
 * Cases: null or wordless text has fingerprint zero and links like any other; fewer words
-  than a shingle give one shingle of the whole sequence; repeated rows link to each other.
+  than a shingle give one shingle of the whole sequence; repeated rows link to each other; texts of any length are read
+  whole; a null id is a row of its own group's id (the smallest non-null one, or null if there is none); ties need no order, as all links count;
+  an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -38,12 +41,14 @@ from .common import components, mix, raw, rolled, slices, word_hashes, words, wr
 
 #: Home members times all members of an anchor up to which they are compared pair by pair.
 HOT = 250_000
-#: near_copies(): fingerprints a text, bits of each, and comparisons of an anchor beyond which its members meet one centre.
-LANES, LANE_BITS, CROWD = 16, 46, 2500
+#: near_copies(): fingerprints a text, and bits of each.
+LANES, LANE_BITS = 4, 46
 #: near_copies(): min-hash bands beside the lanes, and shingle minima that a band takes; at similarity 0.8, 3 pairs in a million share no band.
-BANDS, BAND_ROWS = 32, 5
-#: Comparisons beyond which an anchor's members first meet its centre; pairs that this connects aren't compared again.
-STAR = 64
+BANDS, BAND_ROWS = 24, 4
+#: Bands that a text shares with texts of other components for it to be compared beyond the centres; at similarity 0.8, 6 pairs in a hundred thousand share fewer.
+LEAST_BANDS = 2
+#: Comparisons beyond which an anchor's members first meet a centre, and a second one; pairs that this connects aren't compared again.
+STAR, CROWD = 3, 64
 #: Distinct words whose bits lane_fingerprints() holds at a time.
 WORDS = 1 << 16
 #: Ids of candidates up to which they are broadcast; they are joined by shuffle beyond.
@@ -250,10 +255,10 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def lane_fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """SimHashes (texts by LANES, LANE_BITS each) over single words, repeats included."""
+    """SimHashes (texts by LANES, LANE_BITS each) over distinct single words, so that the common words of a language don't bring unlike texts together."""
     known, place = np.unique(h, return_inverse=True)
     total = np.zeros((len(first) - 1, LANES * LANE_BITS), np.float32)
-    own = [np.unique(place[a:b], return_counts=True) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    own = [np.unique(place[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
     for k in range(0, len(known), WORDS):  # by a bounded number of words, so that memory stays small for any text
         some = known[k : k + WORDS]
         signs = np.empty((len(some), LANES, LANE_BITS), np.int8)
@@ -261,21 +266,49 @@ def lane_fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
             x = mix(some ^ _LANE_SEED[lane])
             signs[:, lane] = 2 * np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :LANE_BITS].astype(np.int8) - 1
         signs = signs.reshape(len(some), -1)
-        for i, (word, n) in enumerate(own):
+        for i, word in enumerate(own):
             lo, hi = np.searchsorted(word, (k, k + WORDS))
             for j in range(lo, hi, 4096):
                 e = min(hi, j + 4096)
-                total[i] += n[j:e].astype(np.float32) @ signs[word[j:e] - k].astype(np.float32)
+                total[i] += signs[word[j:e] - k].sum(0, dtype=np.float32)
     return (total.reshape(-1, LANES, LANE_BITS) > 0) @ (np.int64(1) << np.arange(LANE_BITS, dtype=np.int64))
 
 
+def prefix_pairs(live: DataFrame, slim: DataFrame, shingled, least: float) -> DataFrame:
+    """a, b: candidates among the texts of live (rep, label) with different labels, none with a similarity of least or more left out (prefix and position filter).
+
+    In the order of how many texts have them, rare ones first, the shingles of two such texts begin to agree so early that what is left can still be
+    enough. In a group of edited copies each one's rarest shingles are its own edits, so hardly any pair gets that far, however large the group.
+    """
+    wanted, _ = written(live)
+
+    def single(batches):
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(1)]
+            for k in range(0, len(own), 256):
+                size = np.fromiter(map(len, own[k : k + 256]), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 256).take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(np.repeat(size, size)), pa.array(np.concatenate(own[k : k + 256]).astype(np.int64))], names=["id", "n", "token"])
+
+    sets = slim.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(shingled, "id long, s binary").dropDuplicates(["id"])
+    tokens, _ = written(sets.mapInArrow(single, "id long, n long, token long"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
+    in_order = tokens.join(counts, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("ts"))
+    most = (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int")
+    begin = in_order.select("id", "n", F.posexplode(F.slice("ts", F.lit(1), most)).alias("at", "t")).where("t.texts > 1")
+    begin, _ = written(begin.select("id", "n", "at", "t.token").join(wanted.withColumnRenamed("rep", "id"), "id"))
+    x = begin.select("token", F.col("id").alias("a"), "n", "at", "label")
+    y = begin.select(F.col("token").alias("same"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("at").alias("there"), F.col("label").alias("other"))
+    enough = F.expr(f"least(n - at, m - there) + 1e-9 >= {least} / (1 + {least}) * (n + m)")
+    return x.join(y, (F.col("token") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & enough).select("a", "b").distinct()
+
+
 def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable by links) of every row; texts link if their width-word shingle sets have a Jaccard similarity of least or more.
 
     Equal word sequences (A-Z lower-cased) are one class, found exactly; texts without words are one class
     too, and fewer words than width are one shingle. Links rest on 32-bit hashes of whole
-    shingle sets; at the least similarity 3 pairs in a million share none of the bands, however the texts differ. Candidates
-    whose outlines (64 bytes) lie five standard deviations below the least similarity are not compared further. Shuffled are 510 bytes a row, the
+    shingle sets; at the least similarity 3 pairs in a million share none of the bands, however the texts differ, and 6 in a hundred thousand just one, which is enough for the centres only. Candidates
+    whose outlines (64 bytes) lie five standard deviations below the least similarity are not compared further. Shuffled are 300 bytes a row, the
     anchors of the classes, and the shingle sets of candidates; no group meets in one task.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
@@ -301,14 +334,16 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
                     own = np.ascontiguousarray(fps[:, lane])
                     who, anchor, home = anchors(own, 1)
                     at = pa.array(who)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor | (lane << LANE_BITS)), pa.array(own[who]), some.column(0).take(at), some.column(1).take(at), pa.array(home)], names=["anchor", "fp", "rep", "n", "home"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor | (lane << LANE_BITS)), some.column(0).take(at), some.column(1).take(at), pa.array(home)], names=["anchor", "rep", "n", "home"])
                 bands = np.frombuffer(b"".join(some.column(3).to_pylist()), np.int64).reshape(some.num_rows, -1)
                 for band in range(bands.shape[1]):  # as further lanes, whose members are all at home and equal
-                    yield pa.RecordBatch.from_arrays([pa.array(bands[:, band] | ((LANES + band) << LANE_BITS)), pa.array(np.zeros(some.num_rows, np.int64)), some.column(0), some.column(1), pa.array(np.ones(some.num_rows, bool))], names=["anchor", "fp", "rep", "n", "home"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bands[:, band] | ((LANES + band) << LANE_BITS)), some.column(0), some.column(1), pa.array(np.ones(some.num_rows, bool))], names=["anchor", "rep", "n", "home"])
 
-    dealt, _ = written(reps.select("rep", "n", "lanes", "bands").where("n > 0").mapInArrow(spread, "anchor long, fp long, rep long, n int, home boolean"))
-    sizes = dealt.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("h"), F.count(F.lit(1)).alias("c")).where("h > 0 and c > 1").withColumn("work", F.col("h") * F.col("c"))
-    many, _ = written(sizes.where(F.col("work") > STAR).select("anchor", "work"))
+    dealt, _ = written(reps.select("rep", "n", "lanes", "bands").where("n > 0").mapInArrow(spread, "anchor long, rep long, n int, home boolean"))
+    sizes = dealt.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("h"), F.count(F.lit(1)).alias("c")).where("h > 0 and c > 1").select("anchor", (F.col("h") * F.col("c")).alias("work"), "c")
+    dealt, _ = written(dealt.join(sizes, "anchor"))  # the rest meets nobody
+    known = dealt.groupBy(F.col("rep").alias("r")).agg(F.sum("c").alias("peers"))  # what a group was copied from shares the most anchors with the most members
+    dealt, _ = written(dealt.drop("c").join(known, F.col("rep") == F.col("r")).drop("r"))
     alike = F.expr(f"a <> b and least(n, m) >= {least} * greatest(n, m)")
     in_order = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -338,36 +373,36 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
         one, two = (outlines.select(F.col("rep").alias(x), F.col("outline").alias(f"{x}_outline"), F.col("label").alias(f"{x}_label")) for x in ("a", "b"))
         open_ = pairs.join(one, "a").join(two, "b").where("a_label <> b_label").select("a", "b", "a_outline", "b_outline")
         likely, _ = written(open_.mapInArrow(plausible, "a long, b long"))
-        needed, _ = written(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        needed = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
         needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
         sets, _ = written(slim.join(needed, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(shingled, "id long, s binary"))
         both = likely.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))[0]
 
-    links_, outlines, cool = None, reps.select("rep", "outline", F.col("rep").alias("label")), dealt
-    if many.limit(1).count():  # first every larger anchor's members with its centre
-        crowd, _ = written(dealt.join(many.select("anchor"), "anchor", "left_semi").select("anchor", F.col("rep").alias("b"), "n"))
-        centre = crowd.groupBy("anchor").agg(F.min(F.struct(F.xxhash64("anchor", "b"), "b", "n")).alias("x")).select("anchor", F.col("x.b").alias("a"), F.col("x.n").alias("m"))
-        links_ = verified(crowd.join(centre, "anchor").where(alike).select(*in_order).distinct(), outlines)
-        outlines, _ = written(outlines.drop("label").join(components(links_), F.col("rep") == F.col("node"), "left").select("rep", "outline", F.coalesce("component", "rep").alias("label")))
-        cool = dealt.join(many.where(F.col("work") > CROWD).select("anchor"), "anchor", "left_anti")
-
-    def one(d: DataFrame, *more) -> DataFrame:
-        return d.select("anchor", F.col("fp").alias("f"), F.col("rep").alias("a"), F.col("n").alias("m"), "home", *more)
-
-    def two(d: DataFrame, *more) -> DataFrame:
-        return d.select(F.col("anchor").alias("there"), F.col("fp").alias("g"), F.col("rep").alias("b"), "n", F.col("home").alias("at_home"), *more)
-
-    meet = (F.col("anchor") == F.col("there")) & F.expr("bit_count(f ^ g) <= 1") & alike
-    pairs = one(cool.where("home")).join(two(cool), meet & F.expr("not at_home or a < b")).select(*in_order)
-    if cool is not dealt:  # of the others, all pairs that aren't connected yet: one of each is outside its anchor's largest connected part
-        labelled = dealt.join(many.where(F.col("work") > CROWD).select("anchor"), "anchor", "left_semi").join(outlines.select("rep", "label"), "rep")
-        parts = labelled.groupBy("anchor", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("anchor").agg(F.max(F.struct("c", "label")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor", F.col("x.label").alias("most"))
-        crowd, _ = written(labelled.join(parts, "anchor").withColumn("out", F.col("label") != F.col("most")))
-        open_ = meet & F.expr("(home or at_home) and label <> other and (not out_there or a < b)")
-        pairs = pairs.unionByName(one(crowd.where("out"), "label").join(two(crowd, F.col("label").alias("other"), F.col("out").alias("out_there")), open_).select(*in_order))
-    pairs = pairs.distinct()
-    rest = verified(pairs, outlines)
-    joined = components(rest if links_ is None else links_.unionByName(rest))
+    def relabelled(links_: DataFrame) -> DataFrame:
+        return written(outlines.drop("label").join(components(links_), F.col("rep") == F.col("node"), "left").select("rep", "outline", F.coalesce("component", "rep").alias("label")))[0]
+
+    def unsettled(d: DataFrame) -> DataFrame:
+        """Of the dealt rows those of anchors that hold several components, with their labels."""
+        labelled = d.join(outlines.select("rep", "label"), "rep")
+        several = labelled.groupBy("anchor").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("anchor")
+        return written(labelled.join(several, "anchor").select("anchor", "rep", "n", "work", "peers", "label"))[0]
+
+    outlines, links_, open_ = reps.select("rep", "outline", F.col("rep").alias("label")), None, dealt.withColumn("label", F.col("rep"))
+    for turn, work in enumerate((STAR, CROWD)):
+        crowd = open_.where(F.col("work") > work).select("anchor", F.col("rep").alias("b"), "n", "peers", "label")
+        first = F.min(F.struct((-F.col("peers")).alias("o"), F.xxhash64("b").alias("p"), "b", "n", "label")).alias("x")
+        choice = crowd
+        if turn:  # now the best known one that is not connected with the first
+            best = crowd.groupBy("anchor").agg(first).select("anchor", F.col("x.label").alias("known"))
+            choice = crowd.join(best, "anchor").where("label <> known")
+        centre = choice.groupBy("anchor").agg(first).select("anchor", F.col("x.b").alias("a"), F.col("x.n").alias("m"), F.col("x.label").alias("other"))
+        found = verified(crowd.join(centre, "anchor").where(alike & (F.col("label") != F.col("other"))).select(*in_order).distinct(), outlines)
+        links_ = found if links_ is None else links_.unionByName(found)
+        outlines = relabelled(links_)
+        open_ = unsettled(open_.drop("label"))
+    shared = open_.where(F.shiftright("anchor", LANE_BITS) >= LANES) if BANDS else open_  # lanes also bring unlike texts together; bands go by the similarity alone
+    live = shared.groupBy("rep", "label").agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") >= (LEAST_BANDS if BANDS else 1)).select("rep", "label")
+    joined = components(links_.unionByName(verified(prefix_pairs(live, slim, shingled, least), outlines)))
     label = reps.select("key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", "key").join(label, "key").select("doc_id", "component_id")

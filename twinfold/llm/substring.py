@@ -16,8 +16,9 @@ Plan, in bounded blocks of texts:
 
 * Equality is by 96 hash bits; nothing is capped or sampled.
 * Cases: null or short texts keep all words; rows that share a doc_id are judged by their
-  place alone (equal windows at the same start of two such rows are both kept); empty
-  tables give no rows.
+  place alone (equal windows at the same start of two such rows are both kept); rows with a null id have no place in the order: they keep
+  all words and make no other row's words repeated; texts of any length are judged whole (one that is longer than a block is a block alone); other columns, whatever their
+  names, stay as they are; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from .common import free_name, inside_texts, mix, raw, rolled, slices, word_hash
 
 WIDTH, ANCHOR = 20, 10
 #: Text of a block; a longer text is a block alone.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+#: Text of the corpus for each bucket of hashes; a bucket, which one task holds whole, has about a fifth of that.
+BUCKET_BYTES = 8 << 20
 _A, _B = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 
@@ -72,8 +75,10 @@ def _binary(x: np.ndarray) -> bytes:
 
 def repeated_starts(docs: DataFrame, width: int = WIDTH, buckets: int | None = None) -> DataFrame:
     """doc_id, starts (packed 32-bit places of the windows that also start earlier) of each document that has any. docs: doc_id, t."""
-    spark = docs.sparkSession
-    buckets = buckets or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark, docs = docs.sparkSession, docs.where("doc_id is not null")
+    if buckets is None:  # by the size of the text, so that a bucket is as large on any input
+        total = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        buckets = max(64, -(-total // BUCKET_BYTES))
     anchor = max(1, width // 2)
 
     def send_anchors(batches):

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -30,11 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, distinct_words, slices
+from .common import bound_batches, crc_mod, distinct_words, give_back, slices
 
 MOST_TOXIC, MOST_CLEAN = 2000, 4000
 #: Nearest examples that vote, examples of a block, blocks that are read first, and entries of a worker's cache of words.
-NEIGHBOURS, BLOCK, FIRST, CACHE = 16, 64, 16, 400_000
+NEIGHBOURS, BLOCK, FIRST, CACHE = 16, 64, 16, 250_000
+#: Bytes of text that are scored at a time.
+SLICE = 2 << 20
 #: Terms that more than one in DENSE of the examples have are dense columns of the index.
 DENSE = 24
 _WORD = re.compile(r"[^\W\d_]+")
@@ -70,10 +73,12 @@ class BlockMaxIndex:
         self.n, self.n_blocks, self.read = n, max(1, -(-n // BLOCK)), 0
         norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=n))
         weight = weight / np.maximum(norm, 1e-300)[row]
+        own, first = np.unique(row, return_index=True)  # rows come in order
+        top = np.zeros(n)
+        top[own] = np.maximum.reduceat(weight, first) if len(first) else 0.0
+        at = np.flatnonzero(weight == top[row])[::-1]
         heaviest = np.full(n, n_terms)
-        order = np.lexsort((term, -weight, row))
-        own, first = np.unique(row[order], return_index=True)
-        heaviest[own] = term[order][first]
+        heaviest[row[at]] = term[at]
         self.row_of = np.argsort(heaviest, kind="stable")  # by place in the blocks
         place = np.empty(n, np.int64)
         place[self.row_of] = np.arange(n)
@@ -81,19 +86,32 @@ class BlockMaxIndex:
         frequent = np.flatnonzero(df > max(n / DENSE, BLOCK))  # at most DENSE times the terms that a row has
         self.column = np.full(n_terms, -1)
         self.column[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((len(frequent), self.n_blocks * BLOCK))
         there = self.column[term] >= 0
-        self.dense[self.column[term[there]], place[row[there]]] = weight[there]
+        self.cells = self.column[term[there]].astype(np.int32), place[row[there]].astype(np.int32), weight[there]
+        self.fill()
         row, term, weight = row[~there], term[~there], weight[~there]
         order = np.lexsort((place[row], term))
         term, self.places, self.weights = term[order], place[row][order], weight[order]
         block = self.places // BLOCK
         new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)])
-        self.posting = np.append(new, len(term))  # first posting of each entry (a term in a block)
-        self.block, self.most = block[new], np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0)
+        self.posting = np.append(new, len(term)).astype(np.int32)  # first posting of each entry (a term in a block)
+        self.block, self.most = block[new].astype(np.int32), np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0)
         self.entry = np.searchsorted(term[new], np.arange(n_terms + 1))
         self.places = self.places.astype(np.int32)
 
+    def fill(self) -> None:
+        column, place, weight = self.cells
+        self.dense = np.zeros((int((self.column >= 0).sum()), self.n_blocks * BLOCK))
+        self.dense[column, place] = weight
+
+    def __getstate__(self) -> dict:
+        """Without the dense columns, which the reader fills again."""
+        return {k: v for k, v in self.__dict__.items() if k != "dense"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.fill()
+
     def frequent_part(self, text: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
         """Of n queries (text, terms, weights): what the terms of the dense columns add to the cosine with every place."""
         there = self.column[terms] >= 0
@@ -174,7 +192,8 @@ class ToxicityModel:
         coded = pc.list_flatten(examples.column("words")).combine_chunks().dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         self.terms = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
-        row, term = np.repeat(np.arange(n), size), coded.indices.to_numpy().astype(np.int64)
+        row, term = np.repeat(np.arange(n, dtype=np.int32), size), coded.indices.to_numpy()
+        del coded
         count = pc.list_flatten(examples.column("counts")).to_numpy().astype(np.float64)
         df, toxic = np.bincount(term, minlength=len(self.terms)), np.bincount(term, weights=label[row], minlength=len(self.terms))
         expect = df * pos / n
@@ -223,13 +242,13 @@ class ToxicityModel:
             seen.clear()
             missing = set(parts)
         if not seen:
-            self.first, self.flat = [0], []
+            self.first, self.flat = array("q", [0]), array("q")
         for p in missing:
             own = (p.decode().lower(),) if p.isalpha() else _WORD.findall(p.decode("utf-8", "replace").lower())
             seen[p] = len(seen)
-            self.flat += [terms[w] for w in own if w in terms]
+            self.flat.extend([terms[w] for w in own if w in terms])
             self.first.append(len(self.flat))
-        known, flat = np.array(self.first), np.array(self.flat, np.int64)
+        known, flat = np.array(self.first), np.array(self.flat)
         part = np.fromiter(map(seen.__getitem__, parts), np.int64, len(parts))[which]
         n = known[part + 1] - known[part]
         some = n > 0
@@ -275,16 +294,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     counted = chosen.select("doc_id", "t", "y").mapInArrow(count, "doc_id long, y int, words array<string>, counts array<int>")
     one = counted.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct("words", "counts")).alias("c")).select("doc_id", "y", "c.words", "c.counts").toArrow()
-    return ToxicityModel(one, sum(c for y, c in totals.items() if y == 1) / n)
+    model = ToxicityModel(one, sum(c for y, c in totals.items() if y == 1) / n)
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, evidence: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted (and the nearest examples with their cosines, if asked) of every row."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), crc_mod("doc_id", 5).eqNullSafe(F.lit(0)).alias("held_out"), F.col("text").cast("string").alias("t"))
 
     def run(batches):
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", SLICE):
             got = shared.value.score(batch.column(2))
             p = np.array([g[0] for g in got])
             cols = [batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
@@ -297,11 +319,12 @@ def score(docs: DataFrame, model: ToxicityModel, evidence: bool = False) -> Data
 
 def score_column(spark, model: ToxicityModel):
     """The score as an Arrow UDF of a text column, for filters that keep all other columns in the JVM."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([pc.fill_null(text, "")], names=["t"])
-        return pa.array([s[0] for part in slices(iter([batch]), "t") for s in shared.value.score(part.column(0))], pa.float64())
+        return pa.array([s[0] for part in slices(iter([batch]), "t", SLICE) for s in shared.value.score(part.column(0))], pa.float64())
 
     return scored
