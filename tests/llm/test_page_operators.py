@@ -220,6 +220,40 @@ def test_image_copies(spark, monkeypatch, group):
     assert image_copies.copies(spark.createDataFrame([], "img long, data binary")).count() == 0
 
 
+def brute_links(points):
+    """Linked images by all pairs of descriptors (img, x, y, s, o, d0, d1), without tables of keys' groups or kernels."""
+    field = lambda r, t: r[5 + t // 3] >> 21 * (t % 3) & (1 << 21) - 1
+    votes = {}
+    for p in points:
+        for q in points:
+            if p[0] < q[0] and sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(p[5:], q[5:], strict=True)) <= image_copies.MOST_BITS and any(field(p, t) == field(q, t) for t in range(image_copies.TABLES)):
+                scale = q[3] / p[3]
+                turn = (round(q[4] / (2 * np.pi) * 65536) % 65536 - round(p[4] / (2 * np.pi) * 65536) % 65536) * (2 * np.pi / 65536)
+                x, y = q[1] - scale * (np.cos(turn) * p[1] - np.sin(turn) * p[2]), q[2] - scale * (np.sin(turn) * p[1] + np.cos(turn) * p[2])
+                r, u, v = int(turn / (2 * np.pi) % 1.0 * 24), int(np.floor(x / 6)), int(np.floor(y / 6))
+                for g in (0, 1):
+                    votes.setdefault((p[0], q[0], scale, g, (r + g) // 2 % 12, (u + g) // 2, (v + g) // 2), set()).add((p[1:], q[1:]))
+    return {k[:2] for k, v in votes.items() if len(v) >= image_copies.LEAST}
+
+
+@pytest.mark.parametrize("few", [image_copies.FEW, 40])
+def test_crowded_keys_lose_no_link(spark, monkeypatch, few):
+    """More images than any group had members, alike in parts, so that most keys are crowded: every link, in one block or many."""
+    monkeypatch.setattr(image_copies, "FEW", few)
+    rng, rows = np.random.default_rng(7), []
+    shared = rng.normal(0, 1, (3, 8, 8))
+    for i in range(90):
+        grid = shared[i % 3] + rng.normal(0, 0.02 + 0.2 * (i % 7 == 0), (8, 8))
+        rows.append((1000 - i, (grid.ravel()).tolist()))
+    images = image_copies.rendered(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    points = image_copies.descriptors(images).localCheckpoint()
+    want = brute_links([tuple(r) for r in points.collect()])
+    got = [(r.a, r.b) for r in image_copies.links(points).collect()]
+    assert len(want) > 500 and len(got) == len(set(got)) and set(got) == want
+    monkeypatch.setattr(image_copies, "HELD", 50)  # candidates of an image come in pieces
+    assert {(r.a, r.b) for r in image_copies.links(points).collect()} == want
+
+
 def test_small_crops_and_edits_are_found(spark):
     """Crops of a tenth of the area, brightness, noise, turns and halves of large pictures."""
     rng, rows = np.random.default_rng(3), []

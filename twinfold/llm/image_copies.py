@@ -2,20 +2,21 @@
 
 1. Images (PGM or 8-bit PNG bytes) give multiscale Harris corners, the strongest of every CELL x CELL pixels of each level (so their
    number follows the area), each with an orientation (intensity centroid) and 128 binary tests in a patch turned by it.
-2. Hamming tables: the 128 bits give TABLES keys of 21 bits; descriptors that share a key meet, if the key has GROUP of them at most.
-   In larger groups those meet that share a second key too (if one of the two groups is small, they have met there). Where more than GROUP descriptors
-   share both (42 bits, so they look nearly alike), each meets the group's first and last image, and work stays linear.
+2. Hamming tables: the 128 bits give TABLES keys of 21 bits; all descriptors of different images that share a key meet, however many share it.
 3. Geometric consensus: each match votes for a similarity transform (scale, turn, shift in
-   bins, two grids half a bin apart); LEAST distinct matches in one bin link two images.
+   bins, two grids half a bin apart); LEAST distinct matches in one bin link two images, if they are one in CLEAR of the matches of the two or
+   six deviations more than chance would give (large pictures of like corners have thousands of matches, of which a dozen agree by accident).
 
 A match differs in MOST_BITS bits at most. Two descriptors that far apart share one of the tables' keys with a chance, not for sure; as copies
 have many descriptors and LEAST of them are enough, that loses few copies (README has the measured recall).
 
+Images are dealt to blocks, and each two blocks are compared by one kernel, which looks up keys, counts matches by pair of images and lets only pairs with LEAST of them vote.
+So no match is ever a row, and no key, group or pair is left out. The price is that every block meets every other: rows are sent once for each block, and where images look alike (few different keys)
+time grows with the square of their number.
+
 * Cases: null, undecodable or flat images link with nothing but identical bytes (null never
   links); identical bytes collapse to one image first; repeated rows of one id are one image; images of any size are read whole; ties among corners go to the
   upper left one, other ties need no order; an empty table gives no rows; null ids link like others of their bytes; other columns, whatever their names, are not read.
-* Large groups of alike images are joined through their first and last, so a link there may be found only through a third
-  image: components, not direct links, are the result to rely on.
 """
 
 from __future__ import annotations
@@ -31,6 +32,12 @@ from pyspark.sql import functions as F
 from .common import components, written
 
 CELL, TABLES, GROUP, LEAST, MOST_BITS = 8, 6, 24, 6, 16
+#: Descriptors of a block on average, in tables large enough for GROUP blocks or more; small tables take blocks of a FEW.
+BLOCK, FEW = 32_768, 2048
+#: Part (one in so many) of two images' matches that is no chance if it agrees, however small the images.
+CLEAR = 100
+#: Candidates that a kernel holds at a time.
+HELD = 2_000_000
 #: Images with different bytes up to which their ids are broadcast; they are joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
 _RNG = np.random.default_rng(2024)
@@ -140,58 +147,165 @@ def descriptors(images: DataFrame) -> DataFrame:
     return images.mapInArrow(run, "img long, x double, y double, s double, o double, d0 long, d1 long")
 
 
-def _met(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (p, q) of all members (key, p) of groups of GROUP at most, and the members of larger groups."""
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("p.img").alias("lo"), F.max("p.img").alias("hi")).where("lo < hi").select("key", "n")
-    members = members.join(size, "key")
-    small = members.where(F.col("n") <= GROUP).groupBy("key").agg(F.collect_list("p").alias("ps"))
-    small = small.select("ps", F.explode("ps").alias("p")).select("p", F.explode(F.filter("ps", lambda q: q.img > F.col("p.img"))).alias("q"))
-    return small, members.where(F.col("n") > GROUP).select("key", "p")
+def _fields(at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Scale (log 2), x, y and turn (radians) of descriptors' places."""
+    return at >> 58 & 31, (at >> 37 & (1 << 21) - 1).astype(float), (at >> 16 & (1 << 21) - 1).astype(float), (at & 65535) * (2 * np.pi / 65536)
+
+
+def _codes(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The similarity transform from place p to place q in half bins, as one number."""
+    (s, px, py, po), (t, qx, qy, qo) = _fields(p), _fields(q)
+    scale, turn = np.exp2((t - s).astype(float)), qo - po
+    x = qx - scale * (np.cos(turn) * px - np.sin(turn) * py)
+    y = qy - scale * (np.sin(turn) * px + np.cos(turn) * py)
+    code = t - s + 8
+    for value, bits in ((np.floor(turn / (2 * np.pi) % 1.0 * 24), 5), (np.floor(x / 6) + (1 << 24), 25), (np.floor(y / 6) + (1 << 24), 25)):
+        code = code << bits | value.astype(np.int64)
+    return code
+
+
+def _summed(pair: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (pair, code), and the sum of n of each."""
+    if not len(pair):
+        return pair, code, n
+    order = np.lexsort((code, pair))
+    pair, code = pair[order], code[order]
+    first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (code[1:] != code[:-1])))
+    return pair[first], code[first], np.add.reduceat(n[order], first)
+
+
+def _agreeing(pair: np.ndarray, code: np.ndarray, n: np.ndarray, wide) -> np.ndarray:
+    """Pairs of images with LEAST votes in one bin of either grid, more than chance gives. code: half bins; wide(pair): mean widths of the two images, that with the smaller id first."""
+    s, r, u, v = code >> 55, code >> 50 & 31, code >> 25 & (1 << 25) - 1, code & (1 << 25) - 1
+    known, place = np.unique(pair, return_inverse=True)
+    matches, out = np.bincount(place, n), []
+    for g in (0, 1):
+        its, bins, votes = _summed(pair, ((s << 5 | (r + g) // 2 % 12) << 25 | (u + g) // 2) << 25 | (v + g) // 2, n)
+        ok = votes >= LEAST
+        its, scale, votes = its[ok], np.exp2((bins[ok] >> 55) - 8.0), votes[ok]
+        own, other = wide(its)
+        all_ = matches[np.searchsorted(known, its)]
+        chance = all_ * 0.75 * 144 / (scale * own + other) ** 2  # votes of a bin of 12 x 12 pixels: most turns are quarter turns, most shifts small
+        out.append(its[(votes >= LEAST + chance + 6 * np.sqrt(chance)) | (votes * CLEAR >= all_)])
+    return np.unique(np.concatenate(out))
+
+
+def _widths(at: np.ndarray, local: np.ndarray) -> np.ndarray:
+    """Mean of width and height (geometric) that each image's descriptors span; local: numbers of images, in order."""
+    starts = np.flatnonzero(np.append(True, local[1:] != local[:-1]))
+    spans = [np.maximum.reduceat(z, starts) - np.minimum.reduceat(z, starts) + 16 for z in _fields(at)[1:3]]
+    return np.sqrt(spans[0] * spans[1])
+
+
+def _keys(d: np.ndarray) -> list[np.ndarray]:
+    return [d[:, t // 3] >> np.uint64(21 * (t % 3)) & np.uint64((1 << 21) - 1) for t in range(TABLES)]
+
+
+def compared(img: np.ndarray, at: np.ndarray, d: np.ndarray, img2: np.ndarray, at2: np.ndarray, d2: np.ndarray, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """a, b: linked images of two blocks of descriptors (image, place, 2 x 64 bits), or of one with itself (same). Rows are in order of their images.
+
+    Works by runs of whole images of the first block that have HELD candidates at most; an image with more is alone, and its matches are summed by transform HELD at a time.
+    """
+    tables = []
+    for own, theirs in zip(_keys(d), _keys(d2), strict=True):
+        order = np.argsort(theirs, kind="stable")
+        low = np.searchsorted(theirs[order], own, "left")
+        tables.append((order, d2[order, 0], d2[order, 1], low, np.searchsorted(theirs[order], own, "right") - low))
+    names, local = np.unique(img, return_inverse=True)
+    names2, local2 = np.unique(img2, return_inverse=True)
+    done = np.append(0, np.cumsum(sum(x[4] for x in tables)))  # candidates of the descriptors before
+    ends = np.append(np.flatnonzero(img[1:] != img[:-1]) + 1, len(img))  # of images
+    field = np.uint64((1 << 21) - 1)
+    width, width2 = _widths(at, local), _widths(at2, local2)
+
+    def wide(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = pair // len(names2), pair % len(names2)
+        turned = names[a] > names2[b]
+        return np.where(turned, width2[b], width[a]), np.where(turned, width[a], width2[b])
+
+    def met(a: int, e: int):
+        """Matches of descriptors a to e, each in the first table where its two share a key."""
+        for t, (order, e0, e1, low, n) in enumerate(tables):
+            n = n[a:e]
+            total = int(n.sum())
+            if not total:
+                continue
+            who = np.repeat(np.arange(a, e), n)
+            place = np.arange(total) + np.repeat(low[a:e] - (np.cumsum(n) - n), n)
+            x0, x1 = np.repeat(d[a:e, 0], n) ^ e0[place], np.repeat(d[a:e, 1], n) ^ e1[place]
+            near = np.flatnonzero(np.bitwise_count(x0) + np.bitwise_count(x1) <= MOST_BITS)
+            who, other, x = who[near], order[place[near]], (x0[near], x1[near])
+            ok = img[who] < img2[other] if same else np.ones(len(who), bool)
+            for u in range(t):
+                ok &= (x[u // 3] >> np.uint64(21 * (u % 3)) & field) != 0
+            yield who[ok], other[ok]
+
+    def votes(i: np.ndarray, j: np.ndarray, before: tuple | None) -> tuple:
+        p, q = at[i], at2[j]
+        turned = img[i] > img2[j]  # the transform goes from the smaller image
+        new = local[i] * len(names2) + local2[j], _codes(np.where(turned, q, p), np.where(turned, p, q)), np.ones(len(i), np.int64)
+        return _summed(*(new if before is None else (np.concatenate(x) for x in zip(before, new, strict=True))))
+
+    found, begin = [], 0
+    while begin < len(img):
+        some = ends[ends > begin]
+        stop = int(some[max(0, np.searchsorted(done[some], done[begin] + HELD, "right") - 1)])
+        held, size, summed, a = [], 0, None, begin
+        while a < stop:
+            e = min(stop, max(a + 1, int(np.searchsorted(done, done[a] + HELD, "right")) - 1))
+            for i, j in met(a, e):
+                held.append((i, j))
+                size += len(i)
+                if size > HELD:
+                    summed, held, size = votes(*(np.concatenate(x) for x in zip(*held, strict=True)), summed), [], 0
+            a = e
+        if held:
+            i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+            if summed is None:
+                pair = (local[i] - local[begin]) * len(names2) + local2[j]
+                many = np.bincount(pair, minlength=1)[pair] >= LEAST
+                i, j = i[many], j[many]
+            summed = votes(i, j, summed)
+        if summed is not None:
+            found.append(_agreeing(*summed, wide))
+        begin = stop
+    pair = np.concatenate(found) if found else np.zeros(0, np.int64)
+    a, b = names[pair // max(1, len(names2))], names2[pair % max(1, len(names2))]
+    return np.minimum(a, b), np.maximum(a, b)
 
 
-def matches(points: DataFrame) -> DataFrame:
-    """Candidate matches (p, q) of descriptors that meet in the Hamming tables and differ in at most MOST_BITS bits."""
-    at = lambda t: F.shiftrightunsigned(F.col("p.d0" if t < 3 else "p.d1"), 21 * (t % 3)).bitwiseAND(F.lit((1 << 21) - 1))
+def links(points: DataFrame) -> DataFrame:
+    """a, b: images with LEAST matches that agree on one similarity transform; all of them, whatever their keys. points: a written table."""
+    n = points.count()
+    blocks = max(1, min(max(GROUP, -(-n // BLOCK)), -(-n // FEW)))
     turn = F.pmod(F.round(F.col("o") / (2 * 3.141592653589793) * 65536).cast("long"), F.lit(65536))
     place = F.round(F.log2("s")).cast("long")
     for value, bits in ((F.round("x").cast("long"), 21), (F.round("y").cast("long"), 21), (turn, 16)):
         place = F.shiftleft(place, bits).bitwiseOR(value)
-    own = points.select(F.struct("img", place.alias("at"), "d0", "d1").alias("p"))  # small rows: x and y to the pixel, the turn in 65536 steps
-    small, large = _met(own.select(F.explode(F.array(*[at(t).bitwiseOR(F.lit(t << 21)).cast("int") for t in range(TABLES)])).alias("key"), "p"))
-    first = F.shiftright("key", 21)
-    second = F.array(*[F.struct(F.lit(t).alias("u"), at(t).alias("l")) for t in range(TABLES)])
-    both = lambda x: F.shiftleft(F.col("key").cast("long"), 24).bitwiseOR(F.shiftleft(x.u.cast("long"), 21)).bitwiseOR(x.l)  # noqa: E731  table, key, second table, second key
-    smaller, alike = _met(large.select(F.explode(F.transform(F.filter(second, lambda x: x.u > first), both)).alias("key"), "p"))
-    ends = alike.groupBy("key").agg(F.min(F.struct("p.img", "p")).alias("lo"), F.max(F.struct("p.img", "p")).alias("hi")).select("key", F.array("lo.p", "hi.p").alias("qs"))
-    star = alike.join(ends, "key").select("p", F.explode("qs").alias("q")).where("p.img <> q.img")
-    star = star.select(F.when(F.col("p.img") < F.col("q.img"), F.col("p")).otherwise(F.col("q")).alias("p"), F.when(F.col("p.img") < F.col("q.img"), F.col("q")).otherwise(F.col("p")).alias("q"))
-    pairs = small.unionByName(smaller).unionByName(star)
-    near = F.bit_count(F.col("p.d0").bitwiseXOR(F.col("q.d0"))) + F.bit_count(F.col("p.d1").bitwiseXOR(F.col("q.d1"))) <= MOST_BITS
-    return pairs.where(near)
-
-
-def links(points: DataFrame) -> DataFrame:
-    """a, b: images with LEAST matches that agree on one similarity transform."""
-    m = matches(points)
-    bits = lambda c, at, n: F.shiftright(f"{c}.at", at).bitwiseAND(F.lit((1 << n) - 1)).cast("double")
-    part = {(c, k): bits(c, at, n) for c in "pq" for k, at, n in (("s", 58, 5), ("x", 37, 21), ("y", 16, 21), ("o", 0, 16))}
-    scale = F.pow(F.lit(2.0), part["q", "s"] - part["p", "s"])
-    turn = (part["q", "o"] - part["p", "o"]) * (2 * 3.141592653589793 / 65536)
-    x = part["q", "x"] - scale * (F.cos(turn) * part["p", "x"] - F.sin(turn) * part["p", "y"])
-    y = part["q", "y"] - scale * (F.sin(turn) * part["p", "x"] + F.cos(turn) * part["p", "y"])
-    match = F.hash("p.at", "q.at")
-    halves = {"r": F.pmod(turn / (2 * 3.141592653589793), F.lit(1.0)) * 24, "u": x / 6, "v": y / 6}  # in half bins
-    code = F.round(F.log2(scale)).cast("long") + 8  # with r, u and v one number, so that rows are small
-    for k, bits in (("r", 5), ("u", 20), ("v", 20)):
-        code = F.shiftleft(code, bits).bitwiseOR((F.floor(halves[k]).cast("long") + (1 << 19 if k != "r" else 0)).bitwiseAND(F.lit((1 << bits) - 1)))
-    votes = m.select(F.col("p.img").alias("a"), F.col("q.img").alias("b"), match.alias("match"), code.alias("code"))
-    votes = votes.repartition("a", "b").distinct()  # one shuffle for both groupings
-    field = lambda at, bits: F.shiftright("code", at).bitwiseAND(F.lit((1 << bits) - 1))
-    votes = votes.select("a", "b", "match", F.shiftright("code", 45).alias("s"), field(40, 5).alias("r"), (field(20, 20) - (1 << 19)).alias("u"), (field(0, 20) - (1 << 19)).alias("v"))
-    votes = votes.withColumn("g", F.explode(F.array(F.lit(0), F.lit(1))))
-    in_grid = {k: F.floor((F.col(k) + F.col("g")) / 2) for k in halves}
-    bins = votes.groupBy("a", "b", "s", "g", F.pmod(in_grid["r"], F.lit(12)).alias("rr"), in_grid["u"].alias("uu"), in_grid["v"].alias("vv")).agg(F.count(F.lit(1)).alias("n"))
-    return bins.where(F.col("n") >= LEAST).select("a", "b").distinct()
+    own = points.select(F.pmod(F.xxhash64("img"), F.lit(blocks)).alias("block"), "img", place.alias("at"), "d0", "d1")  # x and y to the pixel, the turn in 65536 steps
+
+    def pack(table: pa.Table) -> pa.Table:
+        cols = [table.column(c).to_numpy() for c in ("img", "at", "d0", "d1")]
+        order = np.argsort(cols[0], kind="stable")
+        return pa.table([table.column("block").slice(0, 1), *(pa.array([c[order].tobytes()], pa.binary()) for c in cols)], names=["block", "img", "at", "d0", "d1"])
+
+    packed = own.repartition(blocks, "block").groupBy("block").applyInArrow(pack, "block long, img binary, at binary, d0 binary, d1 binary")
+    packed, _ = written(packed)
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = packed.withColumn("other", other).select((F.least("block", "other") * blocks + F.greatest("block", "other")).alias("pair"), "block", "img", "at", "d0", "d1")
+
+    def compare(table: pa.Table) -> pa.Table:
+        sides = []
+        for row in zip(*(table.column(c) for c in ("img", "at", "d0", "d1")), strict=True):
+            img, at, d0, d1 = (np.frombuffer(x.as_buffer(), np.int64) for x in row)
+            sides.append((img, at, np.stack([d0, d1], 1).view(np.uint64)))
+        first, last = divmod(table.column("pair")[0].as_py(), blocks)
+        there = first == last or len(sides) == 2  # a block may hold no image
+        a, b = compared(*sides[0], *sides[-1], same=first == last) if there else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    pairs = blocks * (blocks + 1) // 2
+    return dealt.repartition(pairs, "pair").groupBy("pair").applyInArrow(compare, "a long, b long")
 
 
 def copies(images: DataFrame, id_col: str = "img", data_col: str = "data") -> DataFrame:
