@@ -18,7 +18,7 @@ LANES fingerprints of 46 bits (both codes, nothing free) over distinct single wo
 least; texts that meet at an anchor with one bit or none between them in any lane are candidates, as are those that
 share a min-hash band of their shingle sets (lanes favour scattered edits, bands depend on the similarity
 alone), and each candidate pair is verified on the shingles themselves. In anchors of more than STAR comparisons the
-members first meet one centre, in those of more than CROWD then a second one; of the members that are not connected after
+members first meet one centre, in those of more than CROWD then a second one; of all texts that share an anchor or a band, of any size, with one they are not connected with after
 that, all pairs are found that can be similar enough, by prefixes of their shingles from the rarest on (prefix_pairs(): exact, whatever the anchor's size). The centre is the member that shares the most
 anchors with others (in a group of copies that is what they were copied from), so most copies are connected by it at once and the many anchors of a large group
 ask for the same few pairs.
@@ -45,8 +45,6 @@ HOT = 250_000
 LANES, LANE_BITS = 4, 46
 #: near_copies(): min-hash bands beside the lanes, and shingle minima that a band takes; at similarity 0.8, 3 pairs in a million share no band.
 BANDS, BAND_ROWS = 24, 4
-#: Bands that a text shares with texts of other components for it to be compared beyond the centres; at similarity 0.8, 6 pairs in a hundred thousand share fewer.
-LEAST_BANDS = 2
 #: Comparisons beyond which an anchor's members first meet a centre, and a second one; pairs that this connects aren't compared again.
 STAR, CROWD = 3, 64
 #: Distinct words whose bits lane_fingerprints() holds at a time.
@@ -291,10 +289,12 @@ def prefix_pairs(live: DataFrame, slim: DataFrame, shingled, least: float) -> Da
 
     sets = slim.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(shingled, "id long, s binary").dropDuplicates(["id"])
     tokens, _ = written(sets.mapInArrow(single, "id long, n long, token long"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")  # the others come first in every order, so their number is enough
     in_order = tokens.join(counts, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("ts"))
-    most = (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int")
-    begin = in_order.select("id", "n", F.posexplode(F.slice("ts", F.lit(1), most)).alias("at", "t")).where("t.texts > 1")
+    most = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
+    alone = F.col("n") - F.size("ts")
+    begin = in_order.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("ts", F.lit(1), F.greatest(most - alone, F.lit(0)).cast("int"))).alias("k", "t"))
+    begin = begin.select("id", "n", (F.col("alone") + F.col("k")).alias("at"), "t")
     begin, _ = written(begin.select("id", "n", "at", "t.token").join(wanted.withColumnRenamed("rep", "id"), "id"))
     x = begin.select("token", F.col("id").alias("a"), "n", "at", "label")
     y = begin.select(F.col("token").alias("same"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("at").alias("there"), F.col("label").alias("other"))
@@ -307,8 +307,8 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
 
     Equal word sequences (A-Z lower-cased) are one class, found exactly; texts without words are one class
     too, and fewer words than width are one shingle. Links rest on 32-bit hashes of whole
-    shingle sets; at the least similarity 3 pairs in a million share none of the bands, however the texts differ, and 6 in a hundred thousand just one, which is enough for the centres only. Candidates
-    whose outlines (64 bytes) lie five standard deviations below the least similarity are not compared further. Shuffled are 300 bytes a row, the
+    shingle sets; at the least similarity 3 pairs in a million share none of the bands, however the texts differ; one shared band or anchor is enough. Candidates with a centre
+    whose outlines (64 bytes) lie five standard deviations below the least similarity are left to the exact filter. Shuffled are 300 bytes a row, the
     anchors of the classes, and the shingle sets of candidates; no group meets in one task.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
@@ -368,11 +368,11 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
                 keep[i] = both >= least * (len(u) + len(v) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    def verified(pairs: DataFrame, outlines: DataFrame) -> DataFrame:
-        """Of the candidate pairs (a, b) whose classes (rep, outline, label) aren't connected yet, those that link."""
+    def verified(pairs: DataFrame, outlines: DataFrame, all_: bool = False) -> DataFrame:
+        """Of the candidate pairs (a, b) whose classes (rep, outline, label) aren't connected yet, those that link; without all_, those of unlike outlines are left out."""
         one, two = (outlines.select(F.col("rep").alias(x), F.col("outline").alias(f"{x}_outline"), F.col("label").alias(f"{x}_label")) for x in ("a", "b"))
         open_ = pairs.join(one, "a").join(two, "b").where("a_label <> b_label").select("a", "b", "a_outline", "b_outline")
-        likely, _ = written(open_.mapInArrow(plausible, "a long, b long"))
+        likely, _ = written(open_.select("a", "b") if all_ else open_.mapInArrow(plausible, "a long, b long"))
         needed = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
         needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
         sets, _ = written(slim.join(needed, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(shingled, "id long, s binary"))
@@ -401,8 +401,7 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
         links_ = found if links_ is None else links_.unionByName(found)
         outlines = relabelled(links_)
         open_ = unsettled(open_.drop("label"))
-    shared = open_.where(F.shiftright("anchor", LANE_BITS) >= LANES) if BANDS else open_  # lanes also bring unlike texts together; bands go by the similarity alone
-    live = shared.groupBy("rep", "label").agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") >= (LEAST_BANDS if BANDS else 1)).select("rep", "label")
-    joined = components(links_.unionByName(verified(prefix_pairs(live, slim, shingled, least), outlines)))
+    live = open_.select("rep", "label").distinct()  # one key of any kind is enough
+    joined = components(links_.unionByName(verified(prefix_pairs(live, slim, shingled, least), outlines, all_=True)))
     label = reps.select("key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", "key").join(label, "key").select("doc_id", "component_id")
