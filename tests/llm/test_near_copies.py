@@ -51,21 +51,20 @@ def test_bands_depend_on_similarity_alone():
 
 def test_one_shared_key_is_enough(spark, monkeypatch):
     """Texts beyond the centres: a pair that shares one band only is compared, exactly, and so are those that only meet in lanes."""
-    monkeypatch.setattr(simhash, "BANDS", 4)
     monkeypatch.setattr(simhash, "STAR", 10**9)
     monkeypatch.setattr(simhash, "CROWD", 10**9)
     rng, rows, want = np.random.default_rng(5), [], {}
-    for k in range(0, 240, 2):
+    for k in range(0, 120, 2):
         own = [f"w{x}" for x in rng.integers(0, 10**9, 300)]
         other = [*own]
-        for at in (20, 90, 150, 220, 270):
+        for at in range(5, 300, 13):
             other[at] = "edited"
         rows += [(k, " ".join(own)), (k + 1, " ".join(other))]
         h, first = simhash._hashed(pa.array([rows[-2][1], rows[-1][1]]))
         sets = simhash._sets(h, first, 5)
         both = len(np.intersect1d(*sets))
         bands = simhash.band_keys(sets)
-        assert both >= 0.8 * (len(sets[0]) + len(sets[1]) - both)
+        assert both >= 0.4 * (len(sets[0]) + len(sets[1]) - both)
         want[k] = int((bands[0] == bands[1]).sum())
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), least=0.4).collect()}
     assert sum(n == 1 for n in want.values()) > 10 and all(got[k + 1] == k for k, n in want.items() if n) and all(c // 2 == i // 2 for i, c in got.items())
