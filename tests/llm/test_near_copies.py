@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from twinfold.llm import simhash
 
 
@@ -68,3 +69,40 @@ def test_one_shared_key_is_enough(spark, monkeypatch):
         want[k] = int((bands[0] == bands[1]).sum())
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), least=0.4).collect()}
     assert sum(n == 1 for n in want.values()) > 10 and all(got[k + 1] == k for k, n in want.items() if n) and all(c // 2 == i // 2 for i, c in got.items())
+
+
+@pytest.mark.parametrize("full", [64, 1])
+def test_unlike_texts_of_small_anchors_need_no_prefix_filter(spark, monkeypatch, full):
+    """Different texts of the same words share their anchors; few of them are compared directly, only more than FULL by the filter on all shingles, with the same result."""
+    filtered, real = [], simhash.prefix_pairs
+
+    def counted(live, *more):
+        filtered.append(live.count())
+        return real(live, *more)
+
+    monkeypatch.setattr(simhash, "prefix_pairs", counted)
+    monkeypatch.setattr(simhash, "FULL", full, raising=False)
+    rng, rows = random.Random(6), []
+    for k in range(20):
+        bag = [f"w{k}x{j}" for j in range(80)]
+        for j in range(3):
+            own = rng.sample(bag, 80)
+            i = 6 * k + 2 * j
+            rows += [(i, " ".join(own)), (i + 1, " ".join(own[:77] + [own[78], own[77], own[79]]))]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows} and filtered == [0 if full > 1 else 120]
+
+
+def test_outlines_differ_by_no_more_than_their_sets():
+    rng, sets = np.random.default_rng(8), []
+    for n in (0, 1, 9, 60, 64, 65, 700, 5000, 50_000):
+        for part in (0.0, 0.7, 0.95, 1.0):
+            x = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+            keep = int(n * part)
+            sets.append((np.unique(x[:n]), np.unique(np.concatenate([x[:keep], x[n : 2 * n - keep // 3]]))))
+    found = simhash.apart(*(pa.array([simhash._outline(s[k]) for s in sets], pa.binary()) for k in (0, 1)))
+    true = np.array([len(np.setxor1d(*s)) for s in sets])
+    assert (found <= true).all() and (found[true == 0] == 0).all()
+    size = np.array([len(u) + len(v) for u, v in sets])
+    like = np.array([min(map(len, s)) >= 60 and len(np.intersect1d(*s)) < 0.01 * len(s[0]) for s in sets])
+    assert like.sum() >= 5 and (found > size / 9)[like].all()  # unlike texts are ruled out

@@ -19,7 +19,8 @@ least; texts that meet at an anchor with one bit or none between them in any lan
 share a min-hash band of their shingle sets (lanes favour scattered edits, bands depend on the similarity
 alone), and each candidate pair is verified on the shingles themselves. In anchors of more than STAR comparisons the
 members first meet one centre, in those of more than CROWD then a second one; of all texts that share an anchor or a band, of any size, with one they are not connected with after
-that, all pairs are found that can be similar enough, by prefixes of their shingles from the rarest on (prefix_pairs(): exact, whatever the anchor's size). The centre is the member that shares the most
+that, all pairs are compared: among the texts of anchors of more than FULL members those that can be similar enough by prefixes of their shingles from the rarest
+on (prefix_pairs(): exact, whatever the anchor's size), in smaller anchors each of the other pairs. Shingles are read of pairs only whose outlines (parities of the shingles' hashes) allow the similarity; that bound is exact too. The centre is the member that shares the most
 anchors with others (in a group of copies that is what they were copied from), so most copies are connected by it at once and the many anchors of a large group
 ask for the same few pairs.
 
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +49,10 @@ LANES, LANE_BITS = 4, 46
 BANDS, BAND_ROWS = 24, 4
 #: Comparisons beyond which an anchor's members first meet a centre, and a second one; pairs that this connects aren't compared again.
 STAR, CROWD = 3, 64
+#: Members up to which the pairs of an anchor that is not settled then are compared one by one; those of larger ones go to prefix_pairs().
+FULL = 16
+#: Bits of the longest outline; beyond, outlines tell less and more pairs are verified.
+OUTLINE_BITS = 1 << 15
 #: Distinct words whose bits lane_fingerprints() holds at a time.
 WORDS = 1 << 16
 #: Ids of candidates up to which they are broadcast; they are joined by shuffle beyond.
@@ -196,8 +202,6 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3, id_co
     return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: First shingle hash of each of 64 equal ranges.
-_RANGES = np.arange(64, dtype=np.uint64) << np.uint64(58)
 _LOWER_BYTES = np.frombuffer(_LOWER, np.uint8)
 _LANE_SEED = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -223,13 +227,23 @@ def _sets(h: np.ndarray, first: np.ndarray, width: int) -> list[np.ndarray]:
 
 
 def _outline(shingles: np.ndarray) -> bytes:
-    """A byte (1 to 255, or 0 for none) of the smallest hash in each of 64 ranges."""
-    at = np.searchsorted(shingles, _RANGES)
-    ends = np.append(at[1:], len(shingles))
-    out = np.zeros(64, np.uint8)
-    there = at < ends
-    out[there] = shingles[at[there]] % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
+    """For each value of the low bits of the hashes whether an odd number of them has it; about one bit a shingle, OUTLINE_BITS at most."""
+    bits = max(64, min(OUTLINE_BITS, 1 << max(0, len(shingles) - 1).bit_length()))
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+
+
+def apart(u: pa.Array, v: pa.Array) -> np.ndarray:
+    """Differing bits of each two outlines, the longer one folded to the shorter: no more than their sets have elements that the other lacks, as each of these turns one bit."""
+    out, width = np.zeros(len(u), np.int64), [pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (u, v)]
+    for kind in np.unique(width[0] << 32 | width[1]).tolist():
+        at = np.flatnonzero((width[0] << 32 | width[1]) == kind)
+        x, y = (np.frombuffer(b"".join(z.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1) for z in (u, v))
+        while x.shape[1] != y.shape[1]:
+            if x.shape[1] < y.shape[1]:
+                x, y = y, x
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        out[at] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return out
 
 
 _BAND_SEED = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -307,9 +321,9 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
 
     Equal word sequences (A-Z lower-cased) are one class, found exactly; texts without words are one class
     too, and fewer words than width are one shingle. Links rest on 32-bit hashes of whole
-    shingle sets; at the least similarity 3 pairs in a million share none of the bands, however the texts differ; one shared band or anchor is enough. Candidates with a centre
-    whose outlines (64 bytes) lie five standard deviations below the least similarity are left to the exact filter. Shuffled are 300 bytes a row, the
-    anchors of the classes, and the shingle sets of candidates; no group meets in one task.
+    shingle sets; at the least similarity 3 pairs in a million share none of the bands, however the texts differ; one shared band or anchor is enough. Outlines
+    only rule out pairs that differ in more shingles than the least similarity allows. Shuffled are 250 bytes and an eighth to a quarter of a byte a word for each row, the
+    anchors of the classes, pairs of unlike texts by anchor, and the shingle sets of candidates; no group meets in one task.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
 
@@ -349,9 +363,8 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
 
     def plausible(batches):
         for batch in batches:
-            u, v = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 64) for k in (2, 3))
-            m = ((u | v) > 0).sum(1)
-            keep = pa.array(((u == v) & (u > 0)).sum(1) >= least * m - 5 * np.sqrt(least * (1 - least) * m))
+            n = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()
+            keep = pa.array(apart(batch.column(2), batch.column(3)) <= (1 - least) / (1 + least) * n + 1e-6)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     def shingled(batches):
@@ -368,11 +381,11 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
                 keep[i] = both >= least * (len(u) + len(v) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    def verified(pairs: DataFrame, outlines: DataFrame, all_: bool = False) -> DataFrame:
-        """Of the candidate pairs (a, b) whose classes (rep, outline, label) aren't connected yet, those that link; without all_, those of unlike outlines are left out."""
-        one, two = (outlines.select(F.col("rep").alias(x), F.col("outline").alias(f"{x}_outline"), F.col("label").alias(f"{x}_label")) for x in ("a", "b"))
-        open_ = pairs.join(one, "a").join(two, "b").where("a_label <> b_label").select("a", "b", "a_outline", "b_outline")
-        likely, _ = written(open_.select("a", "b") if all_ else open_.mapInArrow(plausible, "a long, b long"))
+    def verified(pairs: DataFrame, outlines: DataFrame) -> DataFrame:
+        """Of the candidate pairs (a, b) whose classes (rep, n, outline, label) aren't connected yet, those that link; shingles are read of those only that outlines don't rule out."""
+        one, two = (outlines.select(F.col("rep").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "outline", "label"))) for x in ("a", "b"))
+        open_ = pairs.join(one, "a").join(two, "b").where("a_label <> b_label").select("a", "b", "a_outline", "b_outline", "a_n", "b_n")
+        likely, _ = written(open_.mapInArrow(plausible, "a long, b long"))
         needed = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
         needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
         sets, _ = written(slim.join(needed, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(shingled, "id long, s binary"))
@@ -380,7 +393,7 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
         return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))[0]
 
     def relabelled(links_: DataFrame) -> DataFrame:
-        return written(outlines.drop("label").join(components(links_), F.col("rep") == F.col("node"), "left").select("rep", "outline", F.coalesce("component", "rep").alias("label")))[0]
+        return written(outlines.drop("label").join(components(links_), F.col("rep") == F.col("node"), "left").select("rep", "n", "outline", F.coalesce("component", "rep").alias("label")))[0]
 
     def unsettled(d: DataFrame) -> DataFrame:
         """Of the dealt rows those of anchors that hold several components, with their labels."""
@@ -388,7 +401,7 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
         several = labelled.groupBy("anchor").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("anchor")
         return written(labelled.join(several, "anchor").select("anchor", "rep", "n", "work", "peers", "label"))[0]
 
-    outlines, links_, open_ = reps.select("rep", "outline", F.col("rep").alias("label")), None, dealt.withColumn("label", F.col("rep"))
+    outlines, links_, open_ = reps.select("rep", "n", "outline", F.col("rep").alias("label")), None, dealt.withColumn("label", F.col("rep"))
     for turn, work in enumerate((STAR, CROWD)):
         crowd = open_.where(F.col("work") > work).select("anchor", F.col("rep").alias("b"), "n", "peers", "label")
         first = F.min(F.struct((-F.col("peers")).alias("o"), F.xxhash64("b").alias("p"), "b", "n", "label")).alias("x")
@@ -401,7 +414,13 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
         links_ = found if links_ is None else links_.unionByName(found)
         outlines = relabelled(links_)
         open_ = unsettled(open_.drop("label"))
-    live = open_.select("rep", "label").distinct()  # one key of any kind is enough
-    joined = components(links_.unionByName(verified(prefix_pairs(live, slim, shingled, least), outlines, all_=True)))
+    size = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"))
+    large = size.where(F.col("c") > FULL).select("anchor")
+    live, _ = written(open_.join(large, "anchor", "left_semi").select("rep", "label").distinct())  # all pairs among these are looked at by prefixes
+    few, _ = written(open_.join(size.where(F.col("c") <= FULL), "anchor").join(live.select("rep", F.lit(True).alias("live")), "rep", "left").select("anchor", "rep", "n", "label", F.coalesce("live", F.lit(False)).alias("live")))
+    x, y = (few.select("anchor", F.col("rep").alias(i), F.col("n").alias(j), F.col("label").alias(f"{i}_of"), F.col("live").alias(f"{i}_live")) for i, j in (("a", "n"), ("b", "m")))
+    pairs = x.join(y, "anchor").where(alike & F.expr("a < b and a_of <> b_of and not (a_live and b_live)")).select("a", "b").distinct()
+    links_ = links_.unionByName(verified(prefix_pairs(live, slim, shingled, least).unionByName(pairs).distinct(), outlines))
+    joined = components(links_)
     label = reps.select("key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", "key").join(label, "key").select("doc_id", "component_id")
