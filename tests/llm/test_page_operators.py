@@ -254,6 +254,43 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch, few):
     assert {(r.a, r.b) for r in image_copies.links(points).collect()} == want
 
 
+def test_links_of_a_group_are_summed_not_listed(spark, monkeypatch):
+    """Alike images, some of them in several copies: links and components as by all pairs, but no table with a row a pair."""
+    counts, real = [], image_copies.written
+
+    def counted(df, *more):
+        out = real(df, *more)
+        if "d0" not in out[0].columns:
+            counts.append(out[0].count())
+        return out
+
+    rng, rows = np.random.default_rng(11), []
+    shared = rng.normal(0, 1, (3, 8, 8))
+    for i in range(120):
+        grid = shared[i % 3] + rng.normal(0, 0.02 + 0.2 * (i % 7 == 0), (8, 8))
+        rows += [(1000 - i + 500 * k, grid.ravel().tolist()) for k in range(1 + (i % 10 == 0) + (i % 30 == 0))]
+    images = image_copies.rendered(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    data = {r.img: r.data for r in images.collect()}
+    rep = {}
+    for i in sorted(data):
+        rep.setdefault(bytes(data[i]), i)
+    points = image_copies.descriptors(images.where(f"img in ({', '.join(map(str, rep.values()))})")).localCheckpoint()
+    monkeypatch.setattr(image_copies, "FEW", 700)
+    pairs = [(r.a, r.b) for r in image_copies.links(points).collect()]
+    same = {i: [j for j in data if data[j] == data[i]] for i in rep.values()}
+    peers, low = {i: set() for i in same}, {i: i for i in same}
+    for a, b in pairs:
+        peers[a].add(b)
+        peers[b].add(a)
+    for _ in same:
+        low = {i: min([low[i], *(low[j] for j in peers[i])]) for i in same}
+    want = {j: (sum(len(same[k]) for k in peers[i]) + len(same[i]) - 1, low[i]) for i in same for j in same[i]}
+    monkeypatch.setattr(image_copies, "written", counted)
+    got = {r.img: (r.n_links, r.component_id) for r in image_copies.copies(images).collect()}
+    blocks = -(-points.count() // 700)
+    assert got == want and blocks > 1 and len(pairs) > 1.5 * max(len(data), blocks * len(same)) and max(counts) <= max(len(data), blocks * len(same))
+
+
 def test_small_crops_and_edits_are_found(spark):
     """Crops of a tenth of the area, brightness, noise, turns and halves of large pictures."""
     rng, rows = np.random.default_rng(3), []

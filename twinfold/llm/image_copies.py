@@ -11,7 +11,7 @@ A match differs in MOST_BITS bits at most. Two descriptors that far apart share
 have many descriptors and LEAST of them are enough, that loses few copies (README has the measured recall).
 
 Images are dealt to blocks, and each two blocks are compared by one kernel, which looks up keys, counts matches by pair of images and lets only pairs with LEAST of them vote.
-So no match is ever a row, and no key, group or pair is left out. The price is that every block meets every other: rows are sent once for each block, and where images look alike (few different keys)
+So no match and, in copies(), no link is ever a row (a kernel sums the links of each image), and no key, group or pair is left out. The price is that every block meets every other: rows are sent once for each block, and where images look alike (few different keys)
 time grows with the square of their number.
 
 * Cases: null, undecodable or flat images link with nothing but identical bytes (null never
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, local_roots, written
 
 CELL, TABLES, GROUP, LEAST, MOST_BITS = 8, 6, 24, 6, 16
 #: Descriptors of a block on average, in tables large enough for GROUP blocks or more; small tables take blocks of a FEW.
@@ -276,6 +276,27 @@ def compared(img: np.ndarray, at: np.ndarray, d: np.ndarray, img2: np.ndarray, a
 
 def links(points: DataFrame) -> DataFrame:
     """a, b: images with LEAST matches that agree on one similarity transform; all of them, whatever their keys. points: a written table."""
+    return _met(points, None, lambda a, b, names, n: (a, b), "a long, b long")
+
+
+def link_sums(points: DataFrame, weights: DataFrame) -> DataFrame:
+    """Of the same links img, links (sum of the weights of the images linked to img), low: a row for each image and each two blocks that link it, with the smallest image it reaches there.
+
+    A group of alike images gives rows in proportion to its size, not to its pairs; the edges img - low connect what the links connect. weights: img, n of images that don't weigh 1.
+    """
+
+    def summed(a: np.ndarray, b: np.ndarray, names: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        nodes, low = local_roots(a, b)
+        total = np.zeros(len(nodes), np.int64)
+        for x, y in ((a, b), (b, a)):
+            np.add.at(total, np.searchsorted(nodes, x), n[np.searchsorted(names, y)])
+        return nodes, total, low
+
+    return _met(points, weights, summed, "img long, links long, low long")
+
+
+def _met(points: DataFrame, weights: DataFrame | None, result, schema: str) -> DataFrame:
+    """Rows of result(a, b, names, n) of each two blocks: their links, their images in order and the weight of each."""
     n = points.count()
     blocks = max(1, min(max(GROUP, -(-n // BLOCK)), -(-n // FEW)))
     turn = F.pmod(F.round(F.col("o") / (2 * 3.141592653589793) * 65536).cast("long"), F.lit(65536))
@@ -283,29 +304,42 @@ def links(points: DataFrame) -> DataFrame:
     for value, bits in ((F.round("x").cast("long"), 21), (F.round("y").cast("long"), 21), (turn, 16)):
         place = F.shiftleft(place, bits).bitwiseOR(value)
     own = points.select(F.pmod(F.xxhash64("img"), F.lit(blocks)).alias("block"), "img", place.alias("at"), "d0", "d1")  # x and y to the pixel, the turn in 65536 steps
+    if weights is None:
+        own = own.withColumn("n", F.lit(1).cast("long"))
+    else:
+        heavy = weights.select(F.col("img").alias("w"), F.col("n").cast("long").alias("n"))
+        heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_ROWS else heavy
+        own = own.join(heavy, F.col("img") == F.col("w"), "left").drop("w").fillna(1, ["n"])
 
     def pack(table: pa.Table) -> pa.Table:
         cols = [table.column(c).to_numpy() for c in ("img", "at", "d0", "d1")]
         order = np.argsort(cols[0], kind="stable")
-        return pa.table([table.column("block").slice(0, 1), *(pa.array([c[order].tobytes()], pa.binary()) for c in cols)], names=["block", "img", "at", "d0", "d1"])
+        first = np.unique(cols[0], return_index=True)[1]
+        return pa.table([table.column("block").slice(0, 1), *(pa.array([c.tobytes()], pa.binary()) for c in (*(c[order] for c in cols), table.column("n").to_numpy()[first]))], names=["block", "img", "at", "d0", "d1", "n"])
 
-    packed = own.repartition(blocks, "block").groupBy("block").applyInArrow(pack, "block long, img binary, at binary, d0 binary, d1 binary")
+    packed = own.repartition(blocks, "block").groupBy("block").applyInArrow(pack, "block long, img binary, at binary, d0 binary, d1 binary, n binary")
     packed, _ = written(packed)
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = packed.withColumn("other", other).select((F.least("block", "other") * blocks + F.greatest("block", "other")).alias("pair"), "block", "img", "at", "d0", "d1")
+    dealt = packed.withColumn("other", other).select((F.least("block", "other") * blocks + F.greatest("block", "other")).alias("pair"), "block", "img", "at", "d0", "d1", "n")
+
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def compare(table: pa.Table) -> pa.Table:
-        sides = []
-        for row in zip(*(table.column(c) for c in ("img", "at", "d0", "d1")), strict=True):
-            img, at, d0, d1 = (np.frombuffer(x.as_buffer(), np.int64) for x in row)
+        sides, images, weight = [], [], []
+        for row in zip(*(table.column(c) for c in ("img", "at", "d0", "d1", "n")), strict=True):
+            img, at, d0, d1, n = (np.frombuffer(x.as_buffer(), np.int64) for x in row)
             sides.append((img, at, np.stack([d0, d1], 1).view(np.uint64)))
+            images.append(np.unique(img))
+            weight.append(n)
         first, last = divmod(table.column("pair")[0].as_py(), blocks)
         there = first == last or len(sides) == 2  # a block may hold no image
         a, b = compared(*sides[0], *sides[-1], same=first == last) if there else (np.zeros(0, np.int64),) * 2
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        images, weight = np.concatenate(images), np.concatenate(weight)
+        order = np.argsort(images)
+        return pa.table([pa.array(c, pa.int64()) for c in result(a, b, images[order], weight[order])], names=names)
 
     pairs = blocks * (blocks + 1) // 2
-    return dealt.repartition(pairs, "pair").groupBy("pair").applyInArrow(compare, "a long, b long")
+    return dealt.repartition(pairs, "pair").groupBy("pair").applyInArrow(compare, schema)
 
 
 def copies(images: DataFrame, id_col: str = "img", data_col: str = "data") -> DataFrame:
@@ -320,11 +354,10 @@ def copies(images: DataFrame, id_col: str = "img", data_col: str = "data") -> Da
     if rows.groupBy("img").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         chosen = chosen.dropDuplicates(["img"])
     points, _ = written(descriptors(chosen))
-    found, _ = written(links(points))
-    joined = components(found)
-    weight = reps.select(F.col("rep").alias("node"), "n")
-    both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(weight, both.b == weight.node).groupBy("a").agg(F.sum("n").alias("links"))
+    weights = reps.groupBy(F.col("rep").alias("img")).agg(F.sum("n").alias("n")).where("n > 1")
+    met, _ = written(link_sums(points, weights))
+    joined = components(met.select(F.col("img").alias("a"), F.col("low").alias("b")))
+    linked = met.groupBy(F.col("img").alias("a")).agg(F.sum("links").alias("links"))
     state = reps.join(linked, reps.rep == linked.a, "left").drop("a").join(joined, F.col("rep") == joined.node, "left")
     state = state.select(F.col("h").alias("hh"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(state, rows.h == state.hh, "left")
