@@ -135,3 +135,27 @@ def test_stages_on_empty_and_null_tables(spark, docs, folder, name):
     nothing = docs.limit(3).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields))
     out = stage(spark, nothing, folder)
     assert out.count() == {"language": 0}.get(name, 3)
+
+
+def test_workers_let_go_of_packed_words(spark, folder):
+    """Workers live on: what packing keeps from task to task must not stay beside the next stage's data."""
+
+    def words_kept(batches):
+        import pyarrow as pa
+        from pyspark.core.broadcast import _broadcastRegistry
+        from twinfold.llm import packing
+
+        found, todo, seen = 0, [vars(packing), *(vars(b) for b in _broadcastRegistry.values())], set()
+        while todo:
+            x = todo.pop()
+            if id(x) not in seen:
+                seen.add(id(x))
+                found += isinstance(x, dict) and b"zyxquartz" in x
+                inner = x.values() if isinstance(x, dict) else x if isinstance(x, tuple | list) else vars(x).values() if type(x).__module__.startswith("twinfold") and hasattr(x, "__dict__") else ()
+                todo += [y for y in inner if not isinstance(y, bytes | str | int)]
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([found] * batch.num_rows, pa.int64())], names=["n"])
+
+    docs = spark.createDataFrame([(i, "zyxquartz words here", "en", "s", 20) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars int").repartition(8)
+    assert pipeline.pack(spark, docs, folder).count() == 8
+    assert spark.range(0, 800, 1, 8).mapInArrow(words_kept, "n long").agg(F.sum("n")).first()[0] == 0

@@ -43,84 +43,96 @@ CACHE = 450_000
 #: Rows of the offset table (one per partition and queue) up to which it is broadcast; it is joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
 
-_tokenizers: dict[str, tuple] = {}
-_ends: dict[str, np.ndarray] = {}
 
+class Encoder:
+    """A vocabulary's tokenizer and the words that it has encoded.
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    Pickled as its path alone. Tasks get it as a broadcast value, so a worker loads the file once, keeps its words from task to
+    task, and lets go of both when a task of another plan comes.
+    """
 
-        t = Tokenizer.from_file(path)
-        added = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
-        added = re.compile(b"|".join(map(re.escape, added))) if added else None
-        _ends[path] = np.zeros(t.get_vocab_size(), bool)
-        _ends[path][[i for x, i in t.get_vocab().items() if x.endswith("</w>")]] = True
-        _tokenizers[path] = (t, added, {}, np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32)
-    return _tokenizers[path]
-
-
-def _encode_each(chunks: list[bytes], path: str) -> list[bytes]:
-    """Ids of each chunk. Chunks of letters only are one pre-token each, so many are encoded as one text and cut where a token ends a word; a text whose number of word ends is another is encoded chunk by chunk."""
-    t, _, _, kind = _tokenizer(path)
-    last, width = _ends[path], np.dtype(kind).itemsize
-    texts = [c.decode() for c in chunks]
-    out: list[bytes] = [b""] * len(texts)
-    plain = [i for i, x in enumerate(texts) if x.isalpha()]
-    alone = [i for i, x in enumerate(texts) if not x.isalpha()]
-    for k in range(0, len(plain), 20_000):
-        groups = [plain[g : g + 200] for g in range(k, min(k + 20_000, len(plain)), 200)]
-        for own, e in zip(groups, t.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, dtype=kind)
-            cut = np.flatnonzero(last[ids]) + 1
-            if len(cut) != len(own) or len(ids) != cut[-1]:
-                alone += own
-                continue
-            data, s = ids.tobytes(), 0
-            for i, stop in zip(own, (cut * width).tolist(), strict=True):
-                out[i] = data[s:stop]
-                s = stop
-    for k in range(0, len(alone), 20_000):
-        some = alone[k : k + 20_000]
-        for i, e in zip(some, t.encode_batch_fast([texts[i] for i in some], add_special_tokens=False), strict=True):
-            out[i] = np.asarray(e.ids, dtype=kind).tobytes()
-    return out
+    def __init__(self, path: str):
+        self.path, self.cache, self.tokenizer = path, {}, None
 
+    def __getstate__(self) -> str:
+        return self.path
 
-def encode_column(column: pa.Array, path: str, end_id: int | None = None) -> tuple[pa.Array, type]:
-    """Ids of every text as packed little-endian integers, with end_id behind them if given.
+    def __setstate__(self, path: str) -> None:
+        self.__init__(path)
 
-    White space always ends a word of this vocabulary, so distinct words are encoded once and cached; a text that
-    spells an added token goes to the library whole.
-    """
-    t, added, cache, kind = _tokenizer(path)
-    known, which, first = distinct_words(column, points)
-    missing = make_room(cache, set(known), CACHE)
-    if missing:
-        cache.update(zip(missing, _encode_each(list(missing), path), strict=True))
-    entries = [cache[w] for w in known]
-    data, offsets = raw(column)
-    for i in sorted({int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in added.finditer(data)}) if added else ():
-        entries.append(np.asarray(t.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode(), add_special_tokens=False).ids, dtype=kind).tobytes())
-        drop = int(first[i + 1] - first[i])
-        which = np.concatenate([which[: first[i]], [len(entries) - 1], which[first[i + 1] :]])
-        first = first + (np.arange(len(first)) > i) * (1 - drop)
-    if end_id is not None:
-        entries.append(np.asarray([end_id], dtype=kind).tobytes())
-        which = np.insert(which, first[1:], len(entries) - 1)
-        first = first + np.arange(len(first))
-    joined, at = raw(pa.array(entries, pa.binary()).take(pa.array(which, pa.int64())))
-    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(at[first].astype(np.int32)), pa.py_buffer(joined)]), kind
+    def load(self) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        t = self.tokenizer = Tokenizer.from_file(self.path)
+        added = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
+        self.ends = np.zeros(t.get_vocab_size(), bool)
+        self.ends[[i for x, i in t.get_vocab().items() if x.endswith("</w>")]] = True
+        self.kind = np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32
+
+    def each(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk. Chunks of letters only are one pre-token each, so many are encoded as one text and cut where a token ends a word; a text whose number of word ends is another is encoded chunk by chunk."""
+        t, last, kind = self.tokenizer, self.ends, self.kind
+        width = np.dtype(kind).itemsize
+        texts = [c.decode() for c in chunks]
+        out: list[bytes] = [b""] * len(texts)
+        plain = [i for i, x in enumerate(texts) if x.isalpha()]
+        alone = [i for i, x in enumerate(texts) if not x.isalpha()]
+        for k in range(0, len(plain), 20_000):
+            groups = [plain[g : g + 200] for g in range(k, min(k + 20_000, len(plain)), 200)]
+            for own, e in zip(groups, t.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.asarray(e.ids, dtype=kind)
+                cut = np.flatnonzero(last[ids]) + 1
+                if len(cut) != len(own) or len(ids) != cut[-1]:
+                    alone += own
+                    continue
+                data, s = ids.tobytes(), 0
+                for i, stop in zip(own, (cut * width).tolist(), strict=True):
+                    out[i] = data[s:stop]
+                    s = stop
+        for k in range(0, len(alone), 20_000):
+            some = alone[k : k + 20_000]
+            for i, e in zip(some, t.encode_batch_fast([texts[i] for i in some], add_special_tokens=False), strict=True):
+                out[i] = np.asarray(e.ids, dtype=kind).tobytes()
+        return out
+
+    def column(self, column: pa.Array, end_id: int | None = None) -> tuple[pa.Array, type]:
+        """Ids of every text as packed little-endian integers, with end_id behind them if given.
+
+        White space always ends a word of this vocabulary, so distinct words are encoded once and cached; a text that
+        spells an added token goes to the library whole.
+        """
+        if self.tokenizer is None:
+            self.load()
+        t, added, cache, kind = self.tokenizer, self.added, self.cache, self.kind
+        known, which, first = distinct_words(column, points)
+        missing = make_room(cache, set(known), CACHE)
+        if missing:
+            cache.update(zip(missing, self.each(list(missing)), strict=True))
+        entries = [cache[w] for w in known]
+        data, offsets = raw(column)
+        for i in sorted({int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in added.finditer(data)}) if added else ():
+            entries.append(np.asarray(t.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode(), add_special_tokens=False).ids, dtype=kind).tobytes())
+            drop = int(first[i + 1] - first[i])
+            which = np.concatenate([which[: first[i]], [len(entries) - 1], which[first[i + 1] :]])
+            first = first + (np.arange(len(first)) > i) * (1 - drop)
+        if end_id is not None:
+            entries.append(np.asarray([end_id], dtype=kind).tobytes())
+            which = np.insert(which, first[1:], len(entries) - 1)
+            first = first + np.arange(len(first))
+        joined, at = raw(pa.array(entries, pa.binary()).take(pa.array(which, pa.int64())))
+        return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(at[first].astype(np.int32)), pa.py_buffer(joined)]), kind
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, queue, part, before (tokens of that queue earlier in that part), doc_tokens, ids (packed, with end_id)."""
+    shared = docs.sparkSession.sparkContext.broadcast(Encoder(path))
 
     def run(batches):
         part, sums = TaskContext.get().partitionId(), {}
         for batch in slices(batches, "t"):
-            ids, kind = encode_column(batch.column(1), path, end_id)
+            ids, kind = shared.value.column(batch.column(1), end_id)
             n = np.diff(np.frombuffer(ids.buffers()[1], np.int32)) // np.dtype(kind).itemsize
             before = []
             for q, k in zip(batch.column(2).to_pylist(), n.tolist(), strict=True):

@@ -36,8 +36,8 @@ from .common import bound_batches, crc_mod, distinct_words, give_back, slices
 MOST_TOXIC, MOST_CLEAN = 2000, 4000
 #: Nearest examples that vote, examples of a block, blocks that are read first, and entries of a worker's cache of words.
 NEIGHBOURS, BLOCK, FIRST, CACHE = 16, 64, 16, 250_000
-#: Bytes of text that are scored at a time.
-SLICE = 2 << 20
+#: Bytes of text that are counted or scored at a time.
+SLICE = 1 << 19
 #: Terms that more than one in DENSE of the examples have are dense columns of the index.
 DENSE = 24
 _WORD = re.compile(r"[^\W\d_]+")
@@ -87,8 +87,7 @@ class BlockMaxIndex:
         self.column = np.full(n_terms, -1)
         self.column[frequent] = np.arange(len(frequent))
         there = self.column[term] >= 0
-        self.cells = self.column[term[there]].astype(np.int32), place[row[there]].astype(np.int32), weight[there]
-        self.fill()
+        self.fill(self.column[term[there]], place[row[there]], weight[there])
         row, term, weight = row[~there], term[~there], weight[~there]
         order = np.lexsort((place[row], term))
         term, self.places, self.weights = term[order], place[row][order], weight[order]
@@ -99,18 +98,19 @@ class BlockMaxIndex:
         self.entry = np.searchsorted(term[new], np.arange(n_terms + 1))
         self.places = self.places.astype(np.int32)
 
-    def fill(self) -> None:
-        column, place, weight = self.cells
+    def fill(self, column: np.ndarray, place: np.ndarray, weight: np.ndarray) -> None:
         self.dense = np.zeros((int((self.column >= 0).sum()), self.n_blocks * BLOCK))
         self.dense[column, place] = weight
 
     def __getstate__(self) -> dict:
-        """Without the dense columns, which the reader fills again."""
-        return {k: v for k, v in self.__dict__.items() if k != "dense"}
+        """The dense columns as their cells, which the reader fills in again."""
+        column, place = np.nonzero(self.dense)
+        return self.__dict__ | {"dense": (column.astype(np.int32), place.astype(np.int32), self.dense[column, place])}
 
     def __setstate__(self, state: dict) -> None:
+        cells = state.pop("dense")
         self.__dict__.update(state)
-        self.fill()
+        self.fill(*cells)
 
     def frequent_part(self, text: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
         """Of n queries (text, terms, weights): what the terms of the dense columns add to the cosine with every place."""
@@ -288,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).join(F.broadcast(some), "doc_id")
 
     def count(batches):
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", SLICE):
             own = [sorted(Counter(_WORD.findall(t.lower())).items()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([[w for w, _ in c] for c in own], pa.list_(pa.string())), pa.array([[k for _, k in c] for c in own], pa.list_(pa.int32()))], names=["doc_id", "y", "words", "counts"])
 
