@@ -8,6 +8,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 from twinfold.llm import crf_langid, toxicity
+from twinfold.llm.common import bound_batches
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 import corpus_pipeline as pipeline  # noqa: E402
@@ -159,3 +160,14 @@ def test_workers_let_go_of_packed_words(spark, folder):
     docs = spark.createDataFrame([(i, "zyxquartz words here", "en", "s", 20) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars int").repartition(8)
     assert pipeline.pack(spark, docs, folder).count() == 8
     assert spark.range(0, 800, 1, 8).mapInArrow(words_kept, "n long").agg(F.sum("n")).first()[0] == 0
+
+
+def test_batches_of_readers_and_workers_are_bounded(spark):
+    """Smaller than Spark's own, unless the session has set them."""
+    own, names = spark.newSession(), ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch")
+    bound_batches(own)
+    assert [own.conf.get(n) for n in names] == ["512", f"{8 << 20}b"]
+    for n, x in zip(names, ("100", "1000000b"), strict=True):
+        own.conf.set(n, x)
+    bound_batches(own)
+    assert [own.conf.get(n) for n in names] == ["100", "1000000b"]

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 #: Bytes of an Arrow batch that a Python worker gets.
 BATCH_BYTES = 8 << 20
+#: Rows that Spark's Parquet reader decodes at a time.
+READ_ROWS = 512
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,10 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Makes the Arrow batches that Python workers get smaller than Spark's 64 MB, where the session doesn't set their size itself: rows of long texts fill it, on both sides and in every task."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name) == "67108864b":
-        spark.conf.set(name, f"{BATCH_BYTES}b")
+    """Makes the Arrow batches that Python workers get smaller than Spark's 64 MB, and the Parquet reader's smaller than 4096 rows, where the session doesn't set their size itself: rows of long texts fill them, on both sides and in every task."""
+    for name, usual, own in (("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b"), ("spark.sql.parquet.columnarReaderBatchSize", "4096", str(READ_ROWS))):
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, own)
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
